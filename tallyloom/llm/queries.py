@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, mixing, sharding
+from tallyloom.llm import decontamination, language, mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id", 4, 2))
+    model = language.fit(docs.filter(~F.col("held_out")))
+    return language.predict(docs, model, carry=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     mix = mixing.mix(_table(spark, sf_dir, "documents"), labels)
@@ -34,7 +40,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {f.__name__: f for f in (op1_decontamination, op4_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op4_sharding, op5_language, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
