@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, language, mixing, near_duplicates, pii, sharding
+from tallyloom.llm import decontamination, language, mixing, near_duplicates, pii, sharding, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, carry=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     mix = mixing.mix(_table(spark, sf_dir, "documents"), labels)
@@ -50,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_near_duplicates, op4_sharding, op5_language, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_near_duplicates, op4_sharding, op5_language, op6_suffix_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
