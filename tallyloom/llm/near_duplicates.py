@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8**5)**32, three in a million.
 BANDS, ROWS = 32, 5
-#: Rounds in which a bucket's members are compared with one of them, before components are compared in full.
-LEADER_ROUNDS = 3
+#: Nodes on either side of a comparison, and shingles in one matrix product.
+BLOCK = 128
+MATRIX_COLUMNS = 8192
 TABLE_BYTES = 8_000_000
 
 
@@ -78,55 +78,83 @@ def bands(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _shingles(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and 64-bit hash of every shingle; a text shorter than a shingle is one."""
+    counts = np.array([len(w) for w in split], dtype=np.int64)
+    flat = [w for own in split for w in own]
+    code = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in set(flat)}
+    ids = np.fromiter(map(code.__getitem__, flat), dtype=np.uint64, count=len(flat))
+    ends = np.cumsum(counts)
+    doc = np.repeat(np.arange(len(split)), counts)
+    first = np.arange(len(flat)) - np.repeat(ends - counts, counts)
+    starts = np.flatnonzero((first <= counts[doc] - SHINGLE) | (first == 0))
+    shingle = np.zeros(len(starts), dtype=np.uint64)
+    for k in range(SHINGLE if len(ids) else 0):
+        at = starts + k
+        inside = at < ends[doc[starts]]
+        shingle = mixed(shingle * np.uint64(5) + np.where(inside, ids[np.minimum(at, len(ids) - 1)], np.uint64(k)))
+    return doc[starts], shingle
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in grouped(batches, "text", TABLE_BYTES):
         texts = [x for c in table.column("text").chunks for x in utf8(c)]
         split = [words(x) for x in texts]
-        counts = np.array([len(w) for w in split], dtype=np.int64)
         digests = [None if t is None else hashlib.blake2b(b" ".join(w), digest_size=16).digest() for t, w in zip(texts, split)]
-        flat = [w for own in split for w in own]
-        distinct = list(set(flat))
-        code = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in distinct}
-        ids = np.fromiter(map(code.__getitem__, flat), dtype=np.uint64, count=len(flat))
-        ends = np.cumsum(counts)
-        doc = np.repeat(np.arange(len(split)), counts)
-        first = np.arange(len(flat)) - np.repeat(ends - counts, counts)
-        starts = np.flatnonzero((first <= counts[doc] - SHINGLE) | (first == 0))
-        shingle = np.zeros(len(starts), dtype=np.uint64)
-        for k in range(SHINGLE):
-            at = starts + k
-            inside = at < ends[doc[starts]]
-            shingle = mixed(shingle * np.uint64(5) + np.where(inside, ids[np.minimum(at, len(ids) - 1)], np.uint64(k))) if len(ids) else shingle
-        key, weight = np.unique((doc[starts].astype(np.uint64) << np.uint64(40)) | (shingle >> np.uint64(24)), return_counts=True)
+        doc, shingle = _shingles(split)
+        key, weight = np.unique((doc.astype(np.uint64) << np.uint64(40)) | (shingle >> np.uint64(24)), return_counts=True)
         registers = signatures((key >> np.uint64(40)).astype(np.int64), mixed(key & np.uint64((1 << 40) - 1)), weight, len(split), BANDS * ROWS)
-        hashes = bands(registers)
-        offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))])
+        hashes, some = bands(registers), np.array([bool(w) for w in split], dtype=bool)
+        offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
         own = {c: table.column(c) for c in table.column_names}
-        own |= {"digest": pa.array(digests, pa.binary()), "bands": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[counts > 0].reshape(-1)))}
+        own |= {"digest": pa.array(digests, pa.binary()), "bands": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[some].reshape(-1)))}
         yield from pa.table(own).to_batches()
 
 
-def _multiset(text: bytes) -> Counter:
-    w = words(text)
-    return Counter(zip(*(w[k:] for k in range(SHINGLE)))) if len(w) >= SHINGLE else Counter([tuple(w)] if w else [])
-
-
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard similarity of two multisets."""
-    common = (a & b).total()
-    return common / (a.total() + b.total() - common) if a or b else 1.0
-
-
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, Counter] = None, Counter()
-        for batch in batches:
-            kept = []
-            for x, y in zip(utf8(batch.column("text_a")), utf8(batch.column("text_b"))):
-                if x != last[0]:
-                    last = x, _multiset(x)
-                kept.append(similarity(last[1], _multiset(y)) >= threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+def overlaps(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the texts' shingle multisets and of all their intersections, by products of incidence matrices."""
+    doc, shingle = _shingles([words(t) for t in texts])
+    order = np.lexsort((shingle, doc))
+    doc, shingle = doc[order], shingle[order]
+    sizes = np.bincount(doc, minlength=len(texts))
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])])[: len(doc)]
+    at = np.arange(len(doc))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0)) if len(doc) else at
+    _, feature, held = np.unique(mixed(shingle + mixed(nth.astype(np.uint64))), return_inverse=True, return_counts=True)
+    shared = held[feature] > 1
+    rank = np.cumsum(held > 1) - 1
+    doc, feature = doc[shared], rank[feature[shared]]
+    common = np.zeros((len(texts), len(texts)))
+    order = np.argsort(feature, kind="stable")
+    doc, feature = doc[order], feature[order]
+    for low in range(0, int(feature[-1]) + 1 if len(feature) else 0, MATRIX_COLUMNS):
+        a, b = np.searchsorted(feature, [low, low + MATRIX_COLUMNS])
+        part = np.zeros((len(texts), MATRIX_COLUMNS), dtype=np.float32)
+        part[doc[a:b], feature[a:b] - low] = 1
+        common += part @ part.T
+    return sizes, common
+
+
+def _compare(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        digests, blocks = table.column("digest").to_pylist(), np.array(table.column("block").to_pylist())
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sizes, common = overlaps([x for c in table.column("text").chunks for x in utf8(c)])
+        close = common >= threshold * (sizes[:, None] + sizes[None, :] - common)
+        close &= (blocks == i)[:, None] & (blocks == j)[None, :]
+        parent = list(range(len(digests)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for x, y in zip(*np.nonzero(close)):
+            if (rx := root(int(x))) != (ry := root(int(y))):
+                parent[rx] = ry
+                links.append((digests[x], digests[y]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
     return run
 
@@ -136,9 +164,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
     Shingles are ``SHINGLE`` consecutive words (lower-cased runs of letters, digits and characters beyond
     ASCII); a shorter text is one shingle.  Equal word sequences are one node.  Nodes that share a band
-    are candidates.  In each bucket all are first compared with one member and, in later rounds, those
-    not yet joined with another; last, candidates in different components are compared in full, so no
-    link between candidates is lost, while most pairs inside a large class are never made.
+    are candidates, and buckets that share nodes tie them into clusters.  Inside a cluster all nodes are
+    compared, ``BLOCK`` against ``BLOCK`` by a matrix product, and a comparison returns only links that join
+    what it had not joined yet; so no link between candidates is lost and no pairs become rows.
 
     Returns id, ``carry`` columns, class_id (the smallest id of the class) and kept (one row of each class, of
     that id).  A null text is a class of its own; texts without words are equal.  Rows that share an
@@ -154,10 +182,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     nodes = materialise(nodes, "near-nodes")
     rows = nodes.select("digest", F.col("first.row").alias("row"))
     members = _members(signed.join(rows.select("row"), "row", "left_semi").select("digest", F.explode("bands").alias("bucket")))
-    rows = rows.join(members.select("digest"), "digest", "left_semi").select("row")
+    clusters = _clusters(members)
+    rows = rows.join(clusters, "digest", "left_semi").select("row")
     texts = materialise(signed.select("row", "digest", "text").join(rows, "row", "left_semi").select("digest", "text"), "near-texts")
-    labels = _linked(members, texts, threshold)
-    of = nodes.join(labels, "digest", "left").select("digest", "first", F.coalesce("component", "digest").alias("component"))
+    labels = _linked(clusters, texts, threshold).withColumnRenamed("node", "_n")
+    of = nodes.join(labels, F.col("digest") == F.col("_n"), "left").select("digest", "first", F.coalesce("component", "digest").alias("component"))
     best = of.groupBy("component").agg(F.min("first").alias("best"))
     of = of.join(best, "component").select(F.col("digest").alias("_d"), "best")
     out = signed.drop("text", "bands").join(of, F.col("digest") == F.col("_d"), "left")
@@ -172,34 +201,19 @@ def _members(buckets: DataFrame) -> DataFrame:
     return materialise(buckets.join(many, "bucket"), "near-members")
 
 
-def _linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Components (digest, component) of the verified links among members of the same buckets."""
-    links, done = None, None
-    labels = members.select("digest").distinct().withColumn("component", F.col("digest"))
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = members.join(labels, "digest")
-        if turn:  # buckets whose members are all joined need no more
-            mixed_ = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("bucket")
-            placed = materialise(placed.join(mixed_, "bucket"), f"near-open-{turn}")
-            if placed.isEmpty():
-                break
-        if turn < LEADER_ROUNDS:
-            key = F.struct(F.xxhash64("digest", F.lit(turn)), F.col("digest").alias("d"), F.col("component").alias("c"))
-            leaders = placed.groupBy("bucket").agg(F.min(key).alias("l")).select("bucket", F.col("l.d").alias("d"), F.col("l.c").alias("c"))
-            pairs = placed.join(leaders, "bucket").filter("component <> c").select("digest", "d")
-        else:
-            other = placed.select("bucket", F.col("digest").alias("d"), F.col("component").alias("c"))
-            pairs = placed.join(other, "bucket").filter("component < c").select("digest", "d")
-        pairs = pairs.select(F.least("digest", "d").alias("a"), F.greatest("digest", "d").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, f"near-pairs-{turn}")
-        done = pairs if done is None else done.union(pairs)
-        sides = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-        sides = sides.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        new = materialise(sides.mapInArrow(_verify(threshold), "a binary, b binary"), f"near-links-{turn}")
-        links = new if links is None else links.union(new)
-        found = components(links, f"near-{turn}").withColumnRenamed("node", "digest")
-        labels = members.select("digest").distinct().join(found, "digest", "left").select("digest", F.coalesce("component", "digest").alias("component"))
-        labels = materialise(labels, f"near-labels-{turn}")
-    return labels
+def _clusters(members: DataFrame) -> DataFrame:
+    """digest, cluster and its number of blocks: nodes that buckets tie together."""
+    hub = members.groupBy("bucket").agg(F.min("digest").alias("a"))
+    tied = members.join(hub, "bucket").select("a", F.col("digest").alias("b"))
+    found = components(tied, "near-clusters")
+    blocks = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return materialise(found.join(blocks, "component").select(F.col("node").alias("digest"), F.col("component").alias("cluster"), "blocks"), "near-clusters")
+
+
+def _linked(clusters: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Components (node, component) of the verified links inside clusters, block against block."""
+    placed = texts.join(clusters, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = other.select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "digest", "block", "text")
+    links = tiles.groupBy("cluster", "i", "j").applyInArrow(_compare(threshold), "a binary, b binary")
+    return components(materialise(links, "near-links"), "near")

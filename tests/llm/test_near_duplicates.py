@@ -1,9 +1,20 @@
 import random
+from collections import Counter
 
 import numpy as np
 
 from tallyloom.llm import near_duplicates as nd
 from tallyloom.llm.components import components
+from tallyloom.llm.text import words
+
+
+def multiset(text):
+    w = words(text.encode())
+    return Counter(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def similarity(a, b):
+    return (a & b).total() / (a | b).total() if a or b else 1.0
 
 
 def closed(nodes, links):
@@ -42,7 +53,9 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
-def test_classes_match_brute_force(spark):
+def test_classes_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 2)
+    monkeypatch.setattr(nd, "MATRIX_COLUMNS", 50)
     rng = random.Random(3)
     line = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
     docs = []
@@ -56,8 +69,8 @@ def test_classes_match_brute_force(spark):
     docs += [docs[0].upper() + " !", docs[1], None, None, "", " -- ", "one", "ONE"] + ["again and again and " * k for k in (10, 10, 11, 30)]
     rows = list(enumerate(docs)) + [(0, docs[0]), (3, "a row with an id seen before and other words in it")]
     got = nd.classes(spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, bands string")).collect()
-    sets = {k: None if t is None else nd._multiset(t.encode()) for k, t in enumerate(docs)}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] is not None and sets[b] is not None and nd.similarity(sets[a], sets[b]) >= 0.8]
+    sets = {k: None if t is None else multiset(t) for k, t in enumerate(docs)}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] is not None and sets[b] is not None and similarity(sets[a], sets[b]) >= 0.8]
     want = closed(sets, links)
     assert {(r.doc_id, r.class_id) for r in got} == {(k, c) for k, c in want.items()} | {(3, 3)}
     assert len(got) == len(rows)
