@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, language, mixing, near_duplicates, pii, sharding, suffixes
+from tallyloom.llm import decontamination, embeddings, language, mixing, near_duplicates, pii, sharding, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     mix = mixing.mix(_table(spark, sf_dir, "documents"), labels)
@@ -56,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_near_duplicates, op4_sharding, op5_language, op6_suffix_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_near_duplicates, op4_sharding, op5_language, op6_suffix_dedup, op8_embeddings, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
