@@ -24,22 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tallyloom-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and return a frame that reads it."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and return a frame that reads it.
+
+    ``release`` spares a table written with ``keep``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if not keep:
+        _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``materialise`` returned and nothing reads any more."""
-    spark, paths = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for path in paths:
-        _delete(spark, path)
-
-
 def release(spark: SparkSession) -> None:
     """Delete every table written so far.  Frames that read them become unusable."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
