@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, embeddings, language, mixing, near_duplicates, pii, sharding, suffixes
+import corpus_pipeline
+from tallyloom.llm import decontamination, embeddings, language, licenses, mixing, near_duplicates, pii, sharding, suffix_tree, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,19 +49,35 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a source is a directory, with one for every thousand documents below it
+    name = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    found = licenses.scan(_table(spark, sf_dir, "documents").withColumn("path", name), carry=("doc_id",))
+    return found.select("doc_id", "path", "license", "score", "origin", "from_dir", F.array_join("notices", ",").alias("notices"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.linked(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id", 7, 2))
+    return suffix_tree.score(docs, ~F.col("held_out"), carry=("held_out",))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     mix = mixing.mix(_table(spark, sf_dir, "documents"), labels)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_near_duplicates, op4_sharding, op5_language, op6_suffix_dedup, op8_embeddings, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_pii, op3_near_duplicates, op4_sharding, op5_language, op6_suffix_dedup, op7_licenses, op8_embeddings, op9_scoring, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
