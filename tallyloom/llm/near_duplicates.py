@@ -174,31 +174,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"_c_{c}") for c in carry), F.col(text_col).alias("text"))
+    chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"_c_{c}") for c in carry if c != text_col), F.col(text_col).alias("text"))
     schema = T.StructType([*chosen.schema.fields, T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     signed = materialise(chosen.mapInArrow(_sign, schema), "near-signed")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     nodes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(first).alias("first"))
     nodes = materialise(nodes, "near-nodes")
+    # Merge joins at every size: the right sides grow with the corpus, so none may be broadcast on a small one only.
     rows = nodes.select("digest", F.col("first.row").alias("row"))
-    members = _members(signed.join(rows.select("row"), "row", "left_semi").select("digest", F.explode("bands").alias("bucket")))
+    members = _members(signed.join(rows.select("row").hint("merge"), "row", "left_semi").select("digest", F.explode("bands").alias("bucket")))
     clusters = _clusters(members)
     rows = rows.join(clusters, "digest", "left_semi").select("row")
-    texts = materialise(signed.select("row", "digest", "text").join(rows, "row", "left_semi").select("digest", "text"), "near-texts")
+    texts = materialise(signed.select("row", "digest", "text").join(rows.hint("merge"), "row", "left_semi").select("digest", "text"), "near-texts")
     labels = _linked(clusters, texts, threshold).withColumnRenamed("node", "_n")
     of = nodes.join(labels, F.col("digest") == F.col("_n"), "left").select("digest", "first", F.coalesce("component", "digest").alias("component"))
     best = of.groupBy("component").agg(F.min("first").alias("best"))
     of = of.join(best, "component").select(F.col("digest").alias("_d"), "best")
-    out = signed.drop("text", "bands").join(of, F.col("digest") == F.col("_d"), "left")
+    held = [F.col("text" if c == text_col else f"_c_{c}").alias(c) for c in carry]
+    out = signed.drop("bands").join(of, F.col("digest") == F.col("_d"), "left")
     best_row = F.coalesce(F.col("best.row"), F.col("row"))
     class_id = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), *(F.col(f"_c_{c}").alias(c) for c in carry), class_id.alias("class_id"), (best_row == F.col("row")).alias("kept"))
+    return out.select(F.col("doc_id").alias(id_col), *held, class_id.alias("class_id"), (best_row == F.col("row")).alias("kept"))
 
 
 def _members(buckets: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one node."""
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    return materialise(buckets.join(many, "bucket"), "near-members")
+    return materialise(buckets.join(many.hint("merge"), "bucket"), "near-members")
 
 
 def _clusters(members: DataFrame) -> DataFrame:
