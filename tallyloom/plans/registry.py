@@ -1,17 +1,384 @@
-"""All queries of the library outside the corpus subpackage."""
+"""All queries of the library outside the corpus subpackage, with SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.operators import advantages as adv
+from tallyloom.operators import checkpoints as cp
+from tallyloom.operators import metrics, sampling, tokens, transcripts, windows
+from tallyloom.sources.tables import CHECKPOINTS_SQL, ROLLOUTS_SQL, TOKENS_SQL, checkpoints, rollouts, table
+from tallyloom.sources.tables import tokens as token_table
 
 FLAGSHIP = "advantage_loo"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(*names: str):
+    return [(F.round(n, 6) + 0.0).alias(n) for n in names]  # no negative zeros
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollouts(spark, sf_dir).filter(~F.col("cancelled"))
+
+
+_R = f"WITH {ROLLOUTS_SQL} "
+_LIVE = f"WITH {ROLLOUTS_SQL}, live AS (SELECT * FROM v_rollouts WHERE NOT cancelled) "
+_G = f"""WITH {ROLLOUTS_SQL}, g AS (SELECT *, count(*) OVER w AS n, sum(ret) OVER w AS s, stddev_pop(ret) OVER w AS d
+  FROM v_rollouts WHERE NOT cancelled WINDOW w AS (PARTITION BY task)), a AS (SELECT *, ret - (s - ret) / (n - 1) AS advantage FROM g WHERE n >= 2) """
+
+
+# --- advantages ---------------------------------------------------------------------------------
+
+
+@query(_G + "SELECT task, rollout, n, round((s - ret) / (n - 1), 6) AS baseline, round(advantage, 6) AS advantage FROM a")
+def advantage_loo(spark, sf_dir):
+    return adv.advantages(_live(spark, sf_dir), ["task"]).select("task", "rollout", "n", *_r("baseline", "advantage"))
+
+
+@query(_G + "SELECT task, rollout, round(s / n, 6) AS baseline, round(ret - s / n, 6) AS advantage FROM g WHERE n >= 2")
+def advantage_lno(spark, sf_dir):
+    return adv.advantages(_live(spark, sf_dir), ["task"], baseline="leave_none_out").select("task", "rollout", *_r("baseline", "advantage"))
+
+
+@query(_G + "SELECT task, rollout, round(advantage / greatest(d, 1e-7), 5) AS advantage FROM a WHERE d > 1e-9")
+def advantage_normalised(spark, sf_dir):
+    spread = _live(spark, sf_dir).groupBy("task").agg(F.stddev_pop("ret").alias("d")).filter("d > 1e-9").select("task")
+    return adv.advantages(_live(spark, sf_dir), ["task"], normalise=True).join(spread, "task", "left_semi").select("task", "rollout", F.round("advantage", 5).alias("advantage"))
+
+
+_KEEP = "c AS (SELECT count(*) AS total, count(*) FILTER (WHERE abs(advantage) >= 0.25) AS above FROM a), k AS (SELECT total, CAST(least(greatest(ceil(above / 8), 1), floor(total / 8)) * 8 AS BIGINT) AS keep FROM c)"
+_TOP = _G.rstrip() + f", {_KEEP}, t AS (SELECT *, row_number() OVER (ORDER BY round(abs(advantage), 9) DESC, rollout) AS rn FROM a) "
+
+
+@query(_TOP + "SELECT task, rollout, round(advantage, 6) AS advantage FROM t, k WHERE rn <= keep")
+def advantage_topk(spark, sf_dir):
+    found = adv.advantages(_live(spark, sf_dir), ["task"])
+    return adv.top_advantages(found, "rollout", 0.25, 8).select("task", "rollout", *_r("advantage"))
+
+
+@query(_TOP + "SELECT any_value(total) AS total, any_value(keep) AS keep, round(1 - any_value(keep) / any_value(total), 6) AS filtered, round(coalesce(max(abs(advantage)) FILTER (WHERE rn > keep), 0), 6) AS empirical_threshold FROM t, k")
+def advantage_filter_stats(spark, sf_dir):
+    return adv.filter_stats(adv.advantages(_live(spark, sf_dir), ["task"]), "rollout", 0.25, 8).select("total", "keep", *_r("filtered", "empirical_threshold"))
+
+
+@query(_R + "SELECT worker, count(*) AS n, min(rollout) AS first, max(rollout) AS last FROM (SELECT rollout, CAST(ntile(8) OVER (ORDER BY rollout) - 1 AS INTEGER) AS worker FROM v_rollouts) GROUP BY worker")
+def balanced_split(spark, sf_dir):
+    return adv.split_evenly(rollouts(spark, sf_dir).select("rollout"), ["rollout"], 8).groupBy("worker").agg(F.count("*").alias("n"), F.min("rollout").alias("first"), F.max("rollout").alias("last"))
+
+
+@query(_R + "SELECT scenario, rollout, CAST((row_number() OVER (PARTITION BY scenario ORDER BY rollout) - 1) // 32 AS BIGINT) AS batch FROM v_rollouts")
+def minibatches(spark, sf_dir):
+    return adv.minibatches(rollouts(spark, sf_dir).select("scenario", "rollout"), "scenario", ["rollout"], 32)
+
+
+# --- metrics ------------------------------------------------------------------------------------
+
+_SUMMARY = "count(*) FILTER (WHERE success) AS n_successes, count(*) AS n_tasks, round(avg(CAST(success AS DOUBLE)), 6) AS tgc, round(avg(passes / num_tests), 6) AS avg_pass_rate FROM v_rollouts"
+
+
+@query(_R + "SELECT " + _SUMMARY)
+def tgc_overall(spark, sf_dir):
+    return metrics.summary(rollouts(spark, sf_dir)).select("n_successes", "n_tasks", *_r("tgc", "avg_pass_rate"))
+
+
+@query(_R + f"SELECT difficulty, {_SUMMARY} GROUP BY difficulty")
+def tgc_by_difficulty(spark, sf_dir):
+    return metrics.summary(rollouts(spark, sf_dir), "difficulty").select("difficulty", "n_successes", "n_tasks", *_r("tgc", "avg_pass_rate"))
+
+
+@query(_R + f"SELECT dataset_name, {_SUMMARY} GROUP BY dataset_name")
+def source_metrics(spark, sf_dir):
+    return metrics.summary(rollouts(spark, sf_dir), "dataset_name").select("dataset_name", "n_successes", "n_tasks", *_r("tgc", "avg_pass_rate"))
+
+
+@query(_R + "SELECT difficulty, count(*) AS n, count(*) FILTER (WHERE success) AS n_successes FROM v_rollouts GROUP BY ROLLUP (difficulty)")
+def difficulty_counts(spark, sf_dir):
+    return metrics.with_total(rollouts(spark, sf_dir), "difficulty")
+
+
+@query(_R + "SELECT count(*) AS n_groups, round(avg(rate), 6) AS macro_success FROM (SELECT difficulty, avg(CAST(success AS DOUBLE)) AS rate FROM v_rollouts GROUP BY difficulty)")
+def macro_success(spark, sf_dir):
+    return metrics.macro_success(rollouts(spark, sf_dir), "difficulty").select("n_groups", *_r("macro_success"))
+
+
+@query(_R + "SELECT difficulty, CAST(least(floor(ret * 10), 9) + 1 AS INTEGER) AS bin, count(*) AS n FROM v_rollouts GROUP BY ALL")
+def return_histogram(spark, sf_dir):
+    return metrics.histogram(rollouts(spark, sf_dir), "difficulty")
+
+
+@query(_R + "SELECT task, difficulty, round(greatest(max(ret), 0), 6) AS best FROM v_rollouts GROUP BY ALL")
+def best_return_per_task(spark, sf_dir):
+    return metrics.best_return(rollouts(spark, sf_dir), "task", "difficulty").select("task", "difficulty", *_r("best"))
+
+
+@query(_R + "SELECT count(*) AS n_tasks, round(avg(CAST(best = 1 AS DOUBLE)), 6) AS attained_full FROM (SELECT task, max(ret) AS best FROM v_rollouts GROUP BY task)")
+def attained_full_return(spark, sf_dir):
+    return metrics.attained_full(rollouts(spark, sf_dir), "task").select("n_tasks", *_r("attained_full"))
+
+
+@query(_R + "SELECT count(*) AS n_scenarios, round(avg(CAST(ok AS DOUBLE)), 6) AS sgc FROM (SELECT scenario, bool_and(ok) AS ok FROM (SELECT scenario, task, bool_or(success) AS ok FROM v_rollouts GROUP BY ALL) GROUP BY scenario)")
+def scenario_completion(spark, sf_dir):
+    return metrics.scenario_completion(rollouts(spark, sf_dir), "scenario", "task").select("n_scenarios", *_r("sgc"))
+
+
+@query(_R + "SELECT rollout, CAST(success AS DOUBLE) AS sparse, round(greatest(0, passes / num_tests - 0.1 * n_exec_failed), 6) AS dense FROM v_rollouts")
+def rewards(spark, sf_dir):
+    return rollouts(spark, sf_dir).select("rollout", metrics.reward(True).alias("sparse"), F.round(metrics.reward(False, 0.1), 6).alias("dense"))
+
+
+# --- tokens -------------------------------------------------------------------------------------
+
+_T = f"WITH {TOKENS_SQL}, d AS (SELECT *, new_lp - old_lp AS d FROM v_tokens WHERE is_output) "
+
+
+@query(_T + "SELECT rollout, round(-avg(d), 6) AS kl_k1, round(avg(exp(d) - 1 - d), 6) AS kl_k3 FROM d GROUP BY rollout")
+def kl_divergence(spark, sf_dir):
+    return tokens.divergences(tokens.log_ratios(token_table(spark, sf_dir))).select("rollout", *_r("kl_k1", "kl_k3"))
+
+
+@query(_T + "SELECT rollout, round(exp(sum(d)), 6) AS weight, round(min(d), 6) AS d_min, round(max(d), 6) + 0.0::DOUBLE AS d_max, CAST(arg_min(i, (d, i)) - 17 AS BIGINT) AS argmin, CAST(arg_max(i, (d, -i)) - 17 AS BIGINT) AS argmax FROM d GROUP BY rollout")
+def importance_weights(spark, sf_dir):
+    return tokens.importance(tokens.log_ratios(token_table(spark, sf_dir))).select("rollout", *_r("weight", "d_min", "d_max"), "argmin", "argmax")
+
+
+def _surrogate(per_token: bool, clip: bool):
+    def run(spark, sf_dir):
+        advantage = F.col("rollout") % 5 - 2.0
+        return tokens.surrogate(tokens.log_ratios(token_table(spark, sf_dir)), advantage, per_token, clip).select("rollout", *_r("objective", "clipped_fraction"))
+
+    kind = f"surrogate_{'token' if per_token else 'trajectory'}_{'clip' if clip else 'plain'}"
+    bounded = "least(a * w, a * greatest(least(w, 1.1), 1 / 1.1::DOUBLE))" if clip else "a * w"
+    rows = "SELECT rollout, rollout % 5 - 2.0::DOUBLE AS a, exp(d) AS w FROM d" if per_token else "SELECT rollout, rollout % 5 - 2.0::DOUBLE AS a, exp(sum(d)) AS w FROM d GROUP BY rollout"
+    run.__name__ = kind
+    query(_T + f"SELECT rollout, round(avg({bounded}), 6) AS objective, round(avg(CAST({bounded} <> a * w AS DOUBLE)), 6) AS clipped_fraction FROM ({rows}) GROUP BY rollout")(run)
+
+
+for _per_token in (True, False):
+    for _clip in (True, False):
+        _surrogate(_per_token, _clip)
+
+
+@query(_T + "SELECT scenario, round(avg(m), 6) AS mean_diff, round(max(hi), 6) AS max_diff, round(max(p95), 6) AS p95, round(min(p99), 6) AS p99 FROM (SELECT scenario, rollout, avg(abs(d)) AS m, max(abs(d)) AS hi, quantile_cont(abs(d), 0.95) AS p95, quantile_cont(abs(d), 0.99) AS p99 FROM d GROUP BY ALL) GROUP BY scenario")
+def prob_diff_stats(spark, sf_dir):
+    d = tokens.log_ratios(token_table(spark, sf_dir)).select("scenario", "rollout", F.explode("d").alias("d")).withColumn("d", F.abs("d"))
+    each = d.groupBy("scenario", "rollout").agg(F.avg("d").alias("m"), F.max("d").alias("hi"), F.percentile("d", 0.95).alias("p95"), F.percentile("d", 0.99).alias("p99"))
+    return each.groupBy("scenario").agg(F.avg("m").alias("mean_diff"), F.max("hi").alias("max_diff"), F.max("p95").alias("p95"), F.min("p99").alias("p99")).select("scenario", *_r("mean_diff", "max_diff", "p95", "p99"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT rollout, count(*) AS n_tokens, count(*) FILTER (WHERE is_output) AS n_output, round(sum(old_lp), 5) AS sum_lp, true AS was_truncated FROM v_tokens WHERE i <= 40 GROUP BY rollout")
+def sequence_truncation(spark, sf_dir):
+    cut = tokens.truncated(token_table(spark, sf_dir), ["old_lp", "new_lp", "is_output"], 40)
+    return cut.select("rollout", F.size("old_lp").cast("long").alias("n_tokens"), F.size(F.filter("is_output", lambda x: x)).cast("long").alias("n_output"), F.round(tokens.total(F.col("old_lp")), 5).alias("sum_lp"), "was_truncated")
+
+
+# --- transcripts --------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT *, count(*) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS turn_no FROM conversations)
+SELECT conv_id, turn_no, max(text) FILTER (WHERE role = 'assistant') AS said, coalesce(arg_min(text, turn) FILTER (WHERE role IN ('user', 'ipython')), '') AS observation FROM t WHERE turn_no > 0 GROUP BY ALL""")
+def turn_pairs(spark, sf_dir):
+    return transcripts.turn_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations")
+def next_message(spark, sf_dir):
+    return transcripts.next_text(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "next_text")
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(t, '(?i)\b(?:the|and|der|que)\b')) AS BIGINT) AS n_words, CAST(len(regexp_extract_all(t, '(?i)token .* [a-z]+')) + len(regexp_extract_all(t, '(?i)licensed under')) AS BIGINT) AS n_patterns
+FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', ' ', 'g') AS t FROM documents)""")
+def word_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("t"))
+    return docs.select("doc_id", transcripts.count_pattern(F.col("t"), r"(?i)\b(?:the|and|der|que)\b").alias("n_words"), transcripts.invalid_api_hits(F.col("t"), ["token .* [a-z]+", "licensed under"]).alias("n_patterns"))
+
+
+_E = "SELECT user_id AS episode, event_id AS turn, event_type AS endpoint, value > 50 AS failed FROM events"
+
+
+@query(f"""WITH e AS ({_E}), g AS (SELECT *, max(turn) FILTER (WHERE NOT failed) OVER (PARTITION BY episode, endpoint) AS good FROM e)
+SELECT episode, count(*) AS n_failed, count(*) FILTER (WHERE good > turn) AS n_recovered, round((count(*) - count(*) FILTER (WHERE good > turn)) / count(*), 6) AS give_up_rate FROM g WHERE failed GROUP BY episode""")
+def error_recovery(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), F.col("event_id").alias("turn"), F.col("event_type").alias("endpoint"), (F.col("value") > 50).alias("failed"))
+    return transcripts.recovery(calls).select("episode", "n_failed", "n_recovered", *_r("give_up_rate"))
+
+
+_D = "SELECT user_id AS episode, event_id AS pos, event_type AS app, event_id % 3 AS api, CASE event_id % 7 WHEN 0 THEN 'description' WHEN 1 THEN 'doc' ELSE 'call' END AS kind FROM events"
+
+
+@query(f"""WITH e AS ({_D}), g AS (SELECT *, min(pos) FILTER (WHERE kind = 'description') OVER (PARTITION BY episode, app) AS a, min(pos) FILTER (WHERE kind = 'doc') OVER (PARTITION BY episode, app, api) AS b FROM e)
+SELECT episode, count(*) AS n_calls, count(*) FILTER (WHERE coalesce(a < pos, false) OR coalesce(b < pos, false)) AS n_documented FROM g WHERE kind = 'call' GROUP BY episode""")
+def doc_before_call(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 7 == 0, "description").when(F.col("event_id") % 7 == 1, "doc").otherwise("call")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), F.col("event_id").alias("pos"), F.col("event_type").alias("app"), (F.col("event_id") % 3).alias("api"), kind.alias("kind"))
+    return transcripts.documented_before(events)
+
+
+@query("""SELECT count(DISTINCT conv_id) AS n_episodes, count(*) FILTER (WHERE role = 'assistant') AS n_turns, round(count(*) FILTER (WHERE role = 'assistant') / count(DISTINCT conv_id), 6) AS turns_per_episode,
+round(avg(length(text)), 6) AS mean_length, count(*) FILTER (WHERE text = '') AS n_empty FROM conversations""")
+def episode_summary(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").agg(
+        F.countDistinct("conv_id").alias("n_episodes"), F.count_if(F.col("role") == "assistant").alias("n_turns"),
+        F.round(F.count_if(F.col("role") == "assistant") / F.countDistinct("conv_id"), 6).alias("turns_per_episode"), F.round(F.avg(F.length("text")), 6).alias("mean_length"), F.count_if(F.col("text") == "").alias("n_empty"),
+    )
+
+
+# --- checkpoints --------------------------------------------------------------------------------
+
+_C = f"WITH {CHECKPOINTS_SQL} "
+_BASE = "1-URGENT"
+
+
+@query(_C + f"""SELECT c.*, round(c."TGC" / nullif(b."TGC", 0), 6) AS "ratio_TGC", round(c.invalid_api_hits / nullif(b.invalid_api_hits, 0), 6) AS ratio_invalid_api_hits, round(b.invalid_api_hits / nullif(c.invalid_api_hits, 0), 6) AS reduction_invalid_api_hits
+FROM v_checkpoints c LEFT JOIN (SELECT * FROM v_checkpoints WHERE experiment = '{_BASE}') b USING (split)""")
+def base_comparison(spark, sf_dir):
+    found = cp.compare(checkpoints(spark, sf_dir), _BASE, ["TGC"], ["invalid_api_hits"])
+    return found.select("split", "experiment", "TGC", "SGC", "execution_failed_count", "invalid_api_hits", *_r("ratio_TGC", "ratio_invalid_api_hits", "reduction_invalid_api_hits"))
+
+
+@query(_C + """SELECT split, experiment, "TGC", "SGC", execution_failed_count, invalid_api_hits FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY "TGC" DESC NULLS LAST, "SGC" DESC NULLS LAST, -invalid_api_hits DESC NULLS LAST) AS r FROM v_checkpoints) WHERE r = 1""")
+def best_checkpoint(spark, sf_dir):
+    return cp.best(checkpoints(spark, sf_dir), "split", [F.col("TGC"), F.col("SGC"), -F.col("invalid_api_hits")])
+
+
+@query(_C + f"""SELECT split, experiment, CASE WHEN experiment = '{_BASE}' THEN 0 ELSE execution_failed_count END AS execution_failed_count FROM v_checkpoints""")
+def upsert_rows(spark, sf_dir):
+    old = checkpoints(spark, sf_dir).select("split", "experiment", "execution_failed_count")
+    new = old.filter(F.col("experiment") == _BASE).withColumn("execution_failed_count", F.lit(0).cast("long"))
+    return cp.upsert(old, new, ["split", "experiment"])
+
+
+@query(_C + f"SELECT split, experiment FROM v_checkpoints WHERE experiment <> '{_BASE}'")
+def pending_checkpoints(spark, sf_dir):
+    rows = checkpoints(spark, sf_dir).select("split", "experiment")
+    return cp.pending(rows, rows.filter(F.col("experiment") == _BASE), ["split", "experiment"])
+
+
+_NAMES = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'checkpoint-' || doc_id WHEN 1 THEN 'ckpt' || doc_id ELSE source END AS name FROM documents"
+
+
+@query(f"SELECT doc_id, try_cast(nullif(regexp_extract(name, '(?:checkpoint-|ckpt)([0-9]+)', 1), '') AS INTEGER) AS iteration, doc_id % 3 < 2 AND doc_id % 20 = 0 AS due FROM ({_NAMES})")
+def cadence(spark, sf_dir):
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("checkpoint-"), "doc_id")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("ckpt"), "doc_id")).otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", cp.iteration(name).alias("iteration"), cp.due(name, 20).alias("due"))
+
+
+_LADDER = "CASE WHEN user_id % 100 >= 85 THEN 'hard_dead' WHEN value >= 65 THEN 'hard_dead' WHEN value >= 45 THEN 'soft_dead' WHEN value >= 35 THEN 'draining' WHEN value >= 25 THEN 'recycle_after_task' ELSE 'healthy' END"
+
+
+@query(f"SELECT {_LADDER} AS state, count(*) AS n FROM events GROUP BY ALL")
+def health_status(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(cp.health(F.col("value"), F.col("user_id") % 100).alias("state")).agg(F.count("*").alias("n"))
+
+
+# --- windows ------------------------------------------------------------------------------------
+
+_RUN = "SELECT event_id, event_type, ts, event_id * 1.0::DOUBLE AS v, epoch_us(ts) / 1e6 AS t FROM events"
+
+
+@query(f"""WITH e AS (SELECT event_type, t, max(v) AS v FROM ({_RUN}) GROUP BY ALL), f AS (SELECT *, min((t, v)) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS a, lag((t, v)) OVER (PARTITION BY event_type ORDER BY t) AS b FROM e),
+s AS (SELECT *, CASE WHEN a[1] < t THEN a ELSE b END AS s FROM f) SELECT event_type, round(t, 3) AS t, round((v - s[2]) / greatest(t - s[1], 1e-8), 6) AS per_second FROM s""")
+def throughput_window(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("double").alias("v"))
+    e = e.groupBy("event_type", "ts").agg(F.max("v").alias("v"))
+    out = windows.throughput(e, "event_type", "ts", "v", 3600)
+    return out.select("event_type", F.round(F.col("ts").cast("double"), 3).alias("t"), *_r("per_second"))
+
+
+@query("SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling_mean FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n >= 3")
+def rolling_mean_burn(spark, sf_dir):
+    return windows.rolling_mean(table(spark, sf_dir, "events"), "event_type", "event_id", "value", 10, 3).select("event_type", "event_id", *_r("rolling_mean"))
+
+
+@query("WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS span, CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + l_linenumber // 2 END AS parent, l_quantity AS seconds FROM lineitem) SELECT s.span, round(s.seconds - coalesce(c.inner_s, 0), 6) AS exclusive FROM s LEFT JOIN (SELECT parent, sum(seconds) AS inner_s FROM s GROUP BY parent) c ON s.span = c.parent")
+def exclusive_time(spark, sf_dir):
+    n, key = F.col("l_linenumber"), F.col("l_orderkey") * 10
+    spans = table(spark, sf_dir, "lineitem").select((key + n).alias("span"), F.when(n > 1, key + F.floor(n / 2)).alias("parent"), F.col("l_quantity").alias("seconds"))
+    return windows.exclusive_time(spans).select("span", *_r("exclusive"))
+
+
+@query("SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total FROM conversations")
+def running_tokens(spark, sf_dir):
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    return windows.running_total(m, "conv_id", "turn", "n").select("conv_id", "turn", "running_total")
+
+
+@query("WITH e AS (SELECT DISTINCT o_custkey AS k, o_orderkey // 50 AS x FROM orders), i AS (SELECT *, x - row_number() OVER (PARTITION BY k ORDER BY x) AS g FROM e) SELECT k, min(x) AS first, max(x) AS last, count(*) AS n FROM i GROUP BY k, g")
+def range_compact(spark, sf_dir):
+    numbers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.floor(F.col("o_orderkey") / 50).alias("x")).distinct()
+    return windows.ranges(numbers, "k", "x").select("k", "first", "last", "n")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r > 3")
+def retention(spark, sf_dir):
+    return windows.expired(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey")
+
+
+@query(None)
+def outlier_gate(spark, sf_dir):
+    return windows.outlier_gate(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 400.0)
+
+
+# --- sets and sampling --------------------------------------------------------------------------
+
+_U = "CAST(('0x' || substr(md5({}), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE"
+
+
+@query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+def dedupe_ordered(spark, sf_dir):
+    return sampling.first_seen(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'de'")
+def split_union(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return docs.filter("lang = 'en'").union(docs.filter("lang = 'de'"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def denylist_anti(spark, sf_dir):
+    return cp.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
+
+
+@query(f"SELECT epoch, c_custkey, CAST(row_number() OVER (PARTITION BY epoch ORDER BY {_U.format("c_custkey || '|' || epoch || '|7'")}, c_custkey) AS INTEGER) AS place FROM customer, (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS epoch)")
+def epoch_sampler(spark, sf_dir):
+    return sampling.epochs(spark, table(spark, sf_dir, "customer"), "c_custkey", 3, 7).select("epoch", "c_custkey", "place")
+
+
+@query(f"SELECT c_custkey, CASE WHEN u < 0.5 THEN 'a' WHEN u < 0.8 THEN 'b' ELSE 'c' END AS sampler FROM (SELECT c_custkey, {_U.format("c_custkey || '|7'")} AS u FROM customer)")
+def mixture_sampler(spark, sf_dir):
+    return sampling.mixture(table(spark, sf_dir, "customer"), "c_custkey", {"a": 0.5, "b": 0.3, "c": 0.2}, 7).select("c_custkey", "sampler")
+
+
+@query(_R + f"SELECT success, rollout FROM (SELECT success, rollout, row_number() OVER (PARTITION BY success ORDER BY {_U.format("rollout || '|7'")}, rollout) AS r FROM v_rollouts) WHERE r <= 2")
+def success_failure_sample(spark, sf_dir):
+    return sampling.per_group(rollouts(spark, sf_dir), "success", "rollout", 2, 7).select("success", "rollout")
+
+
+@query(f"SELECT event_id FROM events WHERE {_U.format("event_id || '|7'")} < 0.05")
+def bernoulli_sample(spark, sf_dir):
+    return sampling.bernoulli(table(spark, sf_dir, "events"), "event_id", 0.05, 7).select("event_id")
