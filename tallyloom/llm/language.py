@@ -24,7 +24,9 @@ GRAMS = (1, 2, 3, 4, 5)
 SWITCH = 10.0
 #: A language uses a script if so large a share of its training words is in it.
 SCRIPT_SHARE = 0.01
-TABLE_BYTES = 8_000_000
+TABLE_BYTES = 6_000_000
+#: Different words, times languages, that are scored at once.
+CHUNK = 1 << 15
 
 #: First and last code point of script ranges (Unicode blocks).
 SCRIPTS = [
@@ -86,10 +88,14 @@ class Model:
 
     def scores(self, distinct: list[bytes], scripts: np.ndarray) -> np.ndarray:
         """A row for each word; languages that don't use its script are out of question if others do."""
-        buckets, owner = _grams(distinct)
-        order = np.argsort(owner, kind="stable")
-        starts = np.searchsorted(owner[order], np.arange(len(distinct)))
-        out = np.add.reduceat(self.logs[buckets[order]], starts, axis=0)
+        out = np.empty((len(distinct), len(self.languages)))
+        step = max(64, CHUNK // len(self.languages))
+        for low in range(0, len(distinct), step):
+            part = distinct[low : low + step]
+            buckets, owner = _grams(part)
+            order = np.argsort(owner, kind="stable")
+            starts = np.searchsorted(owner[order], np.arange(len(part)))
+            out[low : low + step] = np.add.reduceat(self.logs[buckets[order]], starts, axis=0)
         out -= out.max(axis=1, keepdims=True)
         uses = self.uses[scripts]
         out[~uses & uses.any(axis=1, keepdims=True)] = -1e6
@@ -134,11 +140,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, counter in found.items():
             grams, scripts = sums.setdefault(lang, (np.zeros(BUCKETS), np.zeros(len(_NAMES))))
             own = [(w, n, s) for w, n in counter.items() if (s := _script(w)) >= 0]
-            if own:
-                n = np.array([x[1] for x in own], dtype=float)
-                buckets, owner = _grams([x[0] for x in own])
+            for low in range(0, len(own), CHUNK):
+                part = own[low : low + CHUNK]
+                n = np.array([x[1] for x in part], dtype=float)
+                buckets, owner = _grams([x[0] for x in part])
                 grams += np.bincount(buckets, n[owner], BUCKETS)
-                scripts += np.bincount([x[2] for x in own], n, len(_NAMES))
+                scripts += np.bincount([x[2] for x in part], n, len(_NAMES))
     for lang, (grams, scripts) in sums.items():
         feature = np.concatenate([np.flatnonzero(grams), -1 - np.flatnonzero(scripts)])
         n = np.concatenate([grams[grams > 0], scripts[scripts > 0]])

@@ -22,7 +22,7 @@ BANDS, ROWS = 32, 5
 #: Nodes on either side of a comparison, and shingles in one matrix product.
 BLOCK = 128
 MATRIX_COLUMNS = 8192
-TABLE_BYTES = 8_000_000
+TABLE_BYTES = 4_000_000
 
 
 def signatures(docs: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
