@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import decontamination, embeddings, language, licenses, mixing, near_duplicates, pii, sharding, suffix_tree, suffixes
+from tallyloom.llm import decontamination, embeddings, language, licenses, mixing, near_duplicates, oracles, pii, sharding, suffix_tree, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,4 +82,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    found = {"op1_decontamination": oracles.DECONTAMINATION, "op3_near_duplicates": oracles.NEAR_DUPLICATES, "op8_embeddings": oracles.EMBEDDINGS}
+    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
