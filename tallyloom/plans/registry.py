@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tallyloom.operators import advantages as adv
 from tallyloom.operators import checkpoints as cp
 from tallyloom.operators import metrics, sampling, tokens, transcripts, windows
+from tallyloom.sources import files
 from tallyloom.sources.tables import CHECKPOINTS_SQL, ROLLOUTS_SQL, TOKENS_SQL, checkpoints, rollouts, table
 from tallyloom.sources.tables import tokens as token_table
+from tallyloom.storage import shared_dir
+from tallyloom.streaming import batches
 
 FLAGSHIP = "advantage_loo"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -382,3 +385,73 @@ def success_failure_sample(spark, sf_dir):
 @query(f"SELECT event_id FROM events WHERE {_U.format("event_id || '|7'")} < 0.05")
 def bernoulli_sample(spark, sf_dir):
     return sampling.bernoulli(table(spark, sf_dir, "events"), "event_id", 0.05, 7).select("event_id")
+
+
+# --- sources and sinks --------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT source AS task_id FROM documents WHERE source NOT IN ('src1')")
+def split_roundtrip(spark, sf_dir):
+    folder, ids = _scratch(spark, "splits"), table(spark, sf_dir, "documents").select(F.col("source").alias("task_id")).distinct()
+    files.write_split(ids, f"{folder}/all.txt")
+    return files.read_split(spark, folder, "all", spark.createDataFrame([("src1",)], "task_id string"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(turn AS INTEGER) AS msg_idx, role, text AS content, false AS cancelled FROM conversations")
+def episode_json_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "episodes")
+    history = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    episodes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(history.alias("chat_history"))
+    files.write_episodes(episodes.select(F.struct(F.col("conv_id").cast("string").alias("task_id")).alias("task"), "chat_history", F.lit(-1).alias("n_execution_failed")), path)
+    read = files.read_episodes(spark, path)
+    return files.messages(read).join(read.select("task_id", "cancelled"), "task_id").select("task_id", "msg_idx", "role", "content", "cancelled")
+
+
+@query("SELECT n_name AS name, n_regionkey AS number FROM nation")
+def pipe_table(spark, sf_dir):
+    lines = table(spark, sf_dir, "nation").select(F.concat(F.lit("| "), "n_name", F.lit(" |  "), F.col("n_regionkey").cast("string"), F.lit(" |")).alias("value"))
+    header = spark.createDataFrame([("| name | number |",), ("|------|-------|",)], "value string")
+    return files.parse_pipe_table(header.union(lines), ["name", "number"]).withColumn("number", F.col("number").cast("int"))
+
+
+@query(f"WITH {CHECKPOINTS_SQL} SELECT split, experiment, execution_failed_count AS n FROM v_checkpoints")
+def history_json(spark, sf_dir):
+    path, rows = _scratch(spark, "history"), checkpoints(spark, sf_dir).select("split", "experiment", F.col("execution_failed_count").alias("n"))
+    for part in ("experiment < '3'", "experiment >= '3'"):
+        files.append_history(rows.filter(part), path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+# --- batches and streams ------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_rates(spark, sf_dir):
+    return batches.event_rates(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE value > 10")
+def stream_batches(spark, sf_dir):
+    path, schema = _scratch(spark, "stream"), table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*")  # a pattern, as the table may be a file or a folder
+    batches.commit_batches(stream.filter("value > 10").select("event_id", "user_id", "value"), path, f"{path}-state").awaitTermination()
+    return spark.read.parquet(path).select("event_id", "user_id", F.round("value", 6).alias("value"))
+
+
+@query("""WITH r AS (SELECT event_id, CAST(event_id % 4 AS INTEGER) AS scenario FROM events WHERE event_id % 10 <> 3), k AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY event_id) AS k, row_number() OVER (ORDER BY event_id) AS n FROM r)
+SELECT max(event_id) AS stop_at, CAST(18 AS INTEGER) AS needed, CAST(4 AS INTEGER) AS needed_each FROM k WHERE n = 18 OR k = 4""")
+def early_stop_point(spark, sf_dir):
+    results = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).cast("int").alias("scenario"), (F.col("event_id") % 10 == 3).alias("cancelled"))
+    return batches.early_stop(results, 4, 6, "event_id", 0.75, 0.75)
+
+
+@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, value > 50 AS failed, count(*) FILTER (WHERE value > 50) OVER (PARTITION BY user_id ORDER BY event_id) AS f, count(*) FILTER (WHERE NOT value > 50) OVER (PARTITION BY user_id) AS ok FROM events) WHERE failed AND f <= 2 AND ok = 0")
+def retry_budget(spark, sf_dir):
+    attempts = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("value") > 50).alias("failed"))
+    return batches.within_budget(attempts, "user_id", "event_id", 2).select("event_id", "user_id")

@@ -35,6 +35,6 @@ def test_query(spark, db, name):
     want = db.execute(registry.oracle_sql()[name])
     kinds = {c[0]: str(c[1]) for c in want.description}
     assert {c for c, _ in got.dtypes} == set(kinds)
-    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR"}
+    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
     assert {c: same.get(k, k) for c, k in got.dtypes} == kinds
     assert rows(got.toPandas()) == rows(want.fetchdf())
