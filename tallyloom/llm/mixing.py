@@ -31,8 +31,9 @@ def mix(
     code-point order, null last, weigh ``weights`` in turn and share the words of all documents; a
     target stops at ``most_epochs`` times its source's size and the excess goes to the others by
     weight.  A source gives whole passes while they fit; the rest goes to the documents of smallest
-    -ln(u)/w, where u is a hash of the id and w the document's quality weight, up to the words left.
-    The document across that border is taken if this comes nearer the target.
+    -ln(u)/w, where u is a hash of the id and w the document's quality weight, while the sum of their sizes
+    stays within the words left.  Of the documents behind them the one whose size comes nearest to what is
+    still missing, the first by key of several, is taken as well if this comes nearer the target.
 
     ``quality`` (id, quality) weighs a document 0.5 + its mean quality, absent or null quality 1.
     Returns id, ``carry`` columns, size, source_size, target, times, taken.  Null or empty texts have
@@ -60,10 +61,14 @@ def mix(
     joined = placed.join(shares, F.col("source").eqNullSafe(F.col("_s")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = F.col("target") - epochs * F.col("source_size")
-    before = F.col("upto") - F.col("size")
-    within = (F.col("size") > 0) & (F.col("upto") <= left)
-    across = (before < left) & (F.col("upto") > left) & (left - before >= F.col("upto") - left)
-    times = F.least(epochs + F.when(within | across, 1).otherwise(0), F.lit(most_epochs)).cast("long")
+    joined = joined.withColumns({"_epochs": epochs, "_left": left, "_within": (F.col("upto") <= left) & (F.col("size") > 0)})
+    filled = joined.groupBy("_s").agg(F.coalesce(F.max(F.when(F.col("_within"), F.col("upto"))), F.lit(0)).alias("_filled")).withColumnRenamed("_s", "_f")
+    missing = F.col("_left") - F.col("_filled")
+    behind = joined.filter("NOT _within AND size > 0").join(filled, F.col("_s").eqNullSafe(F.col("_f"))).filter(F.abs(missing - F.col("size")) < missing)
+    last = behind.groupBy("_s").agg(F.min(F.struct(F.abs(missing - F.col("size")).alias("off"), "pos")).alias("_last")).select(F.col("_s").alias("_l"), F.col("_last.pos").alias("_last"))
+    joined = joined.join(last, F.col("_s").eqNullSafe(F.col("_l")), "left")
+    more = F.col("_within") | F.coalesce(F.col("pos") == F.col("_last"), F.lit(False))
+    times = F.least(F.col("_epochs") + F.when(more, 1).otherwise(0), F.lit(most_epochs)).cast("long")
     return joined.withColumn("times", times).select(
         F.col("doc_id").alias(id_col), F.col("source").alias(source_col), *(F.col(f"_c_{c}").alias(c) for c in carry), "size", "source_size", "target", "times",
         (F.col("times") * F.col("size")).alias("taken"),
