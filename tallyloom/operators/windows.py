@@ -68,3 +68,17 @@ def outlier_gate(df: DataFrame, key: str, order: str, value: str, most: float, s
         return pdf.assign(accepted=flags)
 
     return df.groupBy(key).applyInPandas(run, f"{schema}, accepted boolean")
+
+
+def ordinals(df: DataFrame, group: str, order: str) -> DataFrame:
+    """Adds group_no (groups in order) and row_no (rows within them), both from 0."""
+    groups = df.select(group).distinct()
+    numbered = groups.withColumn("group_no", F.row_number().over(Window.orderBy(group)) - 1)
+    return df.join(numbered, group).withColumn("row_no", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+
+
+def running_statistics(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Adds mean and deviation (of the population) of the positive values so far."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    positive = F.when(F.col(value) > 0, F.col(value))
+    return df.withColumns({"running_mean": F.avg(positive).over(w), "running_std": F.stddev_pop(positive).over(w)})

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import scalars
 from tallyloom.operators import advantages as adv
 from tallyloom.operators import checkpoints as cp
 from tallyloom.operators import metrics, sampling, tokens, transcripts, windows
@@ -455,3 +456,42 @@ def early_stop_point(spark, sf_dir):
 def retry_budget(spark, sf_dir):
     attempts = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("value") > 50).alias("failed"))
     return batches.within_budget(attempts, "user_id", "event_id", 2).select("event_id", "user_id")
+
+
+# --- scalar functions, ordinals and running statistics ------------------------------------------
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(left(text, 200), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+NOT regexp_matches(text, '[^\x00-\x7F]') AS is_ascii, 'iteration-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS key FROM documents""")
+def names_and_keys(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", scalars.slug(F.left("text", F.lit(200))).alias("slug"), scalars.is_ascii(F.col("text")).alias("is_ascii"), scalars.padded_key("iteration", F.col("doc_id")).alias("key"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped, regexp_extract(url, '^([a-z]+):/', 1) AS scheme FROM pages""")
+def escaped_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalars.html_escaped(F.col("html")).alias("escaped"), scalars.scheme(F.col("url")).alias("scheme"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def conversation_transcripts(spark, sf_dir):
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return grouped.select("conv_id", scalars.transcript(F.col("m")).alias("transcript"))
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS group_no, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS row_no FROM orders")
+def rollout_ordinals(spark, sf_dir):
+    return windows.ordinals(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("""SELECT user_id, event_id, round(avg(v) OVER w, 6) AS running_mean, round(stddev_pop(v) OVER w, 5) AS running_std
+FROM (SELECT user_id, event_id, CASE WHEN value > 20 THEN value - 20 END AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def running_statistics(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") - 20).alias("v"))
+    return windows.running_statistics(e, "user_id", "event_id", "v").select("user_id", "event_id", *_r("running_mean"), F.round("running_std", 5).alias("running_std"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT count(DISTINCT rollout) AS n_rollouts, count(*) AS n_tokens, count(*) FILTER (WHERE is_output) AS n_output, round(sum(old_lp) / count(DISTINCT rollout), 5) AS lp_per_rollout FROM v_tokens")
+def rollout_statistics(spark, sf_dir):
+    t = token_table(spark, sf_dir).select(F.size("old_lp").alias("n"), F.size(F.filter("is_output", lambda x: x)).alias("o"), tokens.total(F.col("old_lp")).alias("s"))
+    return t.agg(F.count("*").alias("n_rollouts"), F.sum("n").alias("n_tokens"), F.sum("o").alias("n_output"), F.round(F.sum("s") / F.count("*"), 5).alias("lp_per_rollout"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import scalars
 from tallyloom.operators import advantages as adv
 from tallyloom.operators import checkpoints as cp
 from tallyloom.operators import metrics, tokens, transcripts, windows
@@ -111,3 +112,18 @@ def test_gate(spark, tmp_path):
     done = frame(spark, [(7,)], "iteration int")
     assert [r.iteration for r in batches.orphans(gate.current(), done).collect()] == [1]
     assert gate.history().count() == 5
+
+
+def test_scalars(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(scalars.token_id(F.lit("token_id:31"))) == 31
+    with pytest.raises(Exception, match="not a token id"):
+        one(scalars.token_id(F.lit("token:31")))
+    assert [one(scalars.scheme(F.lit(u))) for u in ("s3:/b/k", "s3://b/k", "/tmp/x", "a/b")] == ["s3", "s3", "file", "file"]
+    parts = one(scalars.template_parts(F.lit("intro\nUSER: hello\nthere\nASSISTANT: hi")))
+    assert [(p.role, p.text.strip()) for p in parts] == [("user", "hello\nthere"), ("assistant", "hi")]
+    assert [one(scalars.cut_at_break(F.lit(t), 8, "...")) for t in ("short", "one two three", "one\ntwo three", "abcdefghijkl")] == ["short", "one two...", "one...", "abcdefgh..."]
+    assert one(scalars.short_model(F.lit("org/Model-32B-Instruct-v2"))) == "Model-32B"
+    assert one(scalars.safe_float(F.lit("x"))) is None and one(scalars.runners(F.lit(5), F.lit(2), F.lit(3))) == 9
+    df = frame(spark, [([(1.0, True), (3.0, False), (2.0, True), (2.0, True)],), ([(1.0, False)],)], "c array<struct<reward:double,valid:boolean>>")
+    assert [r[0] for r in df.select(scalars.best_candidate(F.col("c"))).collect()] == [2, 0]
