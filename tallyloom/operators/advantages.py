@@ -27,7 +27,7 @@ def advantages(df: DataFrame, group: list[str], ret: str = "ret", baseline: str
 def keep_count(df: DataFrame, threshold: float, world: int, positive_only: bool = False) -> DataFrame:
     """One row: total, above (at the threshold), keep: above rounded up to a multiple of ``world``, one at
     least and no more than there are."""
-    size = F.col("advantage") if positive_only else F.abs("advantage")
+    size = F.round(F.col("advantage") if positive_only else F.abs("advantage"), 9)  # sums in any order agree
     counted = df.agg(F.count("*").alias("total"), F.count_if(size >= threshold).alias("above"))
     wanted = F.greatest(F.ceil(F.col("above") / world), F.lit(1))
     return counted.withColumn("keep", (F.least(wanted, F.floor(F.col("total") / world)) * world).cast("long"))
@@ -44,7 +44,7 @@ def filter_stats(df: DataFrame, key: str, threshold: float = 0.01, world: int =
     """Share of rows dropped and the largest size among them (0 if none is)."""
     counts = keep_count(df, threshold, world)
     kept = top_advantages(df, key, threshold, world).select(key)
-    dropped = df.join(kept, key, "left_anti").agg(F.coalesce(F.max(F.abs("advantage")), F.lit(0.0)).alias("empirical_threshold"))
+    dropped = df.join(kept, key, "left_anti").agg(F.coalesce(F.max(F.round(F.abs("advantage"), 9)), F.lit(0.0)).alias("empirical_threshold"))
     return counts.crossJoin(dropped).select("total", "keep", (1 - F.col("keep") / F.col("total")).alias("filtered"), "empirical_threshold")
 
 

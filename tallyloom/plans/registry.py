@@ -59,33 +59,33 @@ _G = f"""WITH {ROLLOUTS_SQL}, g AS (SELECT *, count(*) OVER w AS n, sum(ret) OVE
 # --- advantages ---------------------------------------------------------------------------------
 
 
-@query(_G + "SELECT task, rollout, n, round((s - ret) / (n - 1), 6) AS baseline, round(advantage, 6) AS advantage FROM a")
+@query(_G + "SELECT task, rollout, n, round((s - ret) / (n - 1), 6) + 0.0::DOUBLE AS baseline, round(advantage, 6) + 0.0::DOUBLE AS advantage FROM a")
 def advantage_loo(spark, sf_dir):
     return adv.advantages(_live(spark, sf_dir), ["task"]).select("task", "rollout", "n", *_r("baseline", "advantage"))
 
 
-@query(_G + "SELECT task, rollout, round(s / n, 6) AS baseline, round(ret - s / n, 6) AS advantage FROM g WHERE n >= 2")
+@query(_G + "SELECT task, rollout, round(s / n, 6) + 0.0::DOUBLE AS baseline, round(ret - s / n, 6) + 0.0::DOUBLE AS advantage FROM g WHERE n >= 2")
 def advantage_lno(spark, sf_dir):
     return adv.advantages(_live(spark, sf_dir), ["task"], baseline="leave_none_out").select("task", "rollout", *_r("baseline", "advantage"))
 
 
-@query(_G + "SELECT task, rollout, round(advantage / greatest(d, 1e-7), 5) AS advantage FROM a WHERE d > 1e-9")
+@query(_G + "SELECT task, rollout, round(round(advantage / greatest(d, 1e-7), 9), 5) + 0.0::DOUBLE AS advantage FROM a WHERE d > 1e-9")
 def advantage_normalised(spark, sf_dir):
     spread = _live(spark, sf_dir).groupBy("task").agg(F.stddev_pop("ret").alias("d")).filter("d > 1e-9").select("task")
-    return adv.advantages(_live(spark, sf_dir), ["task"], normalise=True).join(spread, "task", "left_semi").select("task", "rollout", F.round("advantage", 5).alias("advantage"))
+    return adv.advantages(_live(spark, sf_dir), ["task"], normalise=True).join(spread, "task", "left_semi").select("task", "rollout", (F.round(F.round("advantage", 9), 5) + 0.0).alias("advantage"))
 
 
-_KEEP = "c AS (SELECT count(*) AS total, count(*) FILTER (WHERE abs(advantage) >= 0.25) AS above FROM a), k AS (SELECT total, CAST(least(greatest(ceil(above / 8), 1), floor(total / 8)) * 8 AS BIGINT) AS keep FROM c)"
+_KEEP = "c AS (SELECT count(*) AS total, count(*) FILTER (WHERE round(abs(advantage), 9) >= 0.25) AS above FROM a), k AS (SELECT total, CAST(least(greatest(ceil(above / 8), 1), floor(total / 8)) * 8 AS BIGINT) AS keep FROM c)"
 _TOP = _G.rstrip() + f", {_KEEP}, t AS (SELECT *, row_number() OVER (ORDER BY round(abs(advantage), 9) DESC, rollout) AS rn FROM a) "
 
 
-@query(_TOP + "SELECT task, rollout, round(advantage, 6) AS advantage FROM t, k WHERE rn <= keep")
+@query(_TOP + "SELECT task, rollout, round(advantage, 6) + 0.0::DOUBLE AS advantage FROM t, k WHERE rn <= keep")
 def advantage_topk(spark, sf_dir):
     found = adv.advantages(_live(spark, sf_dir), ["task"])
     return adv.top_advantages(found, "rollout", 0.25, 8).select("task", "rollout", *_r("advantage"))
 
 
-@query(_TOP + "SELECT any_value(total) AS total, any_value(keep) AS keep, round(1 - any_value(keep) / any_value(total), 6) AS filtered, round(coalesce(max(abs(advantage)) FILTER (WHERE rn > keep), 0), 6) AS empirical_threshold FROM t, k")
+@query(_TOP + "SELECT any_value(total) AS total, any_value(keep) AS keep, round(1 - any_value(keep) / any_value(total), 6) AS filtered, round(coalesce(max(round(abs(advantage), 9)) FILTER (WHERE rn > keep), 0), 6) AS empirical_threshold FROM t, k")
 def advantage_filter_stats(spark, sf_dir):
     return adv.filter_stats(adv.advantages(_live(spark, sf_dir), ["task"]), "rollout", 0.25, 8).select("total", "keep", *_r("filtered", "empirical_threshold"))
 
@@ -484,11 +484,11 @@ def rollout_ordinals(spark, sf_dir):
     return windows.ordinals(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@query("""SELECT user_id, event_id, round(avg(v) OVER w, 6) AS running_mean, round(stddev_pop(v) OVER w, 5) AS running_std
+@query("""SELECT user_id, event_id, round(round(avg(v) OVER w, 9), 6) AS running_mean, round(round(stddev_pop(v) OVER w, 9), 5) AS running_std
 FROM (SELECT user_id, event_id, CASE WHEN value > 20 THEN value - 20 END AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def running_statistics(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") - 20).alias("v"))
-    return windows.running_statistics(e, "user_id", "event_id", "v").select("user_id", "event_id", *_r("running_mean"), F.round("running_std", 5).alias("running_std"))
+    return windows.running_statistics(e, "user_id", "event_id", "v").select("user_id", "event_id", F.round(F.round("running_mean", 9), 6).alias("running_mean"), F.round(F.round("running_std", 9), 5).alias("running_std"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT count(DISTINCT rollout) AS n_rollouts, count(*) AS n_tokens, count(*) FILTER (WHERE is_output) AS n_output, round(sum(old_lp) / count(DISTINCT rollout), 5) AS lp_per_rollout FROM v_tokens")

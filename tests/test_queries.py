@@ -8,7 +8,7 @@ import pytest
 
 from tallyloom.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def db():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda x: "" if pd.isna(x) else f"{x:.5f}" if isinstance(x, int | float) and not isinstance(x, bool) else str(x)
+    cell = lambda x: "" if pd.isna(x) else repr(float(x)) if isinstance(x, int | float) and not isinstance(x, bool) else str(x)
     return sorted(tuple(cell(x) for x in r) for r in frame.astype(object).itertuples(index=False))
 
 
