@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scalars import html_escaped
+
 #: Wordings that are counted.  (?d) makes a dot stop at line feeds alone.
 INVALID_API = [r"invalid api", r"api .* not found", r"no api named", r"unknown api", r"attributeerror: .*apis\.", r"has no attribute"]
 ASSUMPTION = r"(?i)\b(?:assume|assumed|assuming)\b"
@@ -71,3 +73,55 @@ def documented_before(events: DataFrame, episode: str = "episode", pos: str = "p
 def next_text(messages: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
     """Adds next_text: the following message of the conversation."""
     return messages.withColumn("next_text", F.lead(text).over(Window.partitionBy(key).orderBy(order)))
+
+
+#: What stands for an observation that is left out, and what ends one that is cut.
+OMITTED, CUT = "[NOT SHOWN FOR BREVITY]", "\n[MESSAGE TOO LONG, TRUNCATED]"
+
+
+def truncated_history(
+    messages: DataFrame, key: str, order: str, role: str = "role", text: str = "text",
+    n_prompt: int = 1, most: int = 60_000, most_message: int = 20_000, recent: int = 5,
+) -> DataFrame:
+    """The messages that are left when all after the first ``n_prompt`` of a conversation have to fit ``most`` characters.
+
+    Three passes, each only as far as the length asks for it: early observations are left out (not among
+    the last ``recent`` messages), observations above ``most_message`` are cut, and then the first messages
+    go while more than ``recent`` remain.  Observations are the messages of ``ipython``, or of ``user`` in a
+    conversation without any.  A null text counts as empty and stays null; ``order`` must be unique in a
+    conversation.  All passes are windows over one sort by (key, order).
+    """
+    all_, so_far = Window.partitionBy(key), Window.partitionBy(key).orderBy(order)
+    earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    own, place, left = F.col("_text"), F.col("_place"), F.col("_left")
+    length = F.when(place >= 0, F.coalesce(F.length(own), F.lit(0))).otherwise(0).cast("long")
+
+    def shortened(df: DataFrame, chosen: Column, new: Column, new_length: int) -> DataFrame:
+        """Replaces chosen messages in order until the conversation fits."""
+        df = df.withColumns({"_length": length, "_chosen": F.coalesce(chosen, F.lit(False))})
+        gain = F.when(F.col("_chosen"), F.col("_length") - new_length).otherwise(0)
+        df = df.withColumn("_before", F.sum("_length").over(all_) - F.coalesce(F.sum(gain).over(earlier), F.lit(0)))
+        unfit = F.min(F.when(place >= 0, F.col("_before"))).over(so_far) > most
+        return df.withColumn("_unfit", unfit).withColumn("_text", F.when(F.col("_chosen") & F.col("_unfit"), new).otherwise(own))
+
+    kind = F.when(F.max(F.col(role) == "ipython").over(all_), "ipython").otherwise("user")
+    df = messages.withColumns({"_text": F.col(text), "_place": F.row_number().over(so_far) - 1 - n_prompt, "_kind": kind})
+    df = df.withColumns({"_left": F.count(F.lit(1)).over(all_) - n_prompt - place, "_seen": (place >= 0) & (F.col(role) == F.col("_kind"))})
+    df = shortened(df, F.col("_seen") & (left > recent), F.lit(OMITTED), len(OMITTED))
+    head = max(1, most_message - len(CUT))
+    df = shortened(df, F.col("_seen") & (F.length(own) > most_message), F.concat(F.left(own, F.lit(head)), F.lit(CUT)), head + len(CUT))
+    rest = F.sum(length).over(so_far.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    df = df.withColumn("_rest", rest).filter((place < 0) | (F.col("_rest") <= most) | (left <= recent))
+    return df.select(*(own.alias(c) if c == text else F.col(c) for c in messages.columns))
+
+
+def report(messages: DataFrame, key: str, order: str, size: Column, role: str = "role", text: str = "text", n_prompt: int = 1) -> DataFrame:
+    """One HTML fragment a conversation: each message with its number, role, size, running size and interaction."""
+    w = Window.partitionBy(key).orderBy(order)
+    numbered = messages.withColumn("_size", F.coalesce(size, F.lit(0))).withColumns({"_no": F.row_number().over(w) - 1, "_sum": F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    turn = F.floor((F.greatest(F.lit(0), F.col("_no") - (n_prompt - 1)) + 1) / 2)
+    title = F.concat_ws(" ", F.concat(F.lit("#"), F.col("_no")), F.concat(F.lit("size "), F.col("_size")), F.concat(F.lit("sum "), F.col("_sum")), F.concat(F.lit("interaction "), turn))
+    role_, body = (html_escaped(F.coalesce(F.col(c), F.lit(""))) for c in (role, text))
+    part = F.concat(F.lit('<section class="'), role_, F.lit('"><h3>'), title, F.lit("</h3><pre>"), body, F.lit("</pre></section>"))
+    parts = F.sort_array(F.collect_list(F.struct(F.col("_no"), part.alias("part"))))
+    return numbered.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n").alias("html"))

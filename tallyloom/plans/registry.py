@@ -495,3 +495,30 @@ def running_statistics(spark, sf_dir):
 def rollout_statistics(spark, sf_dir):
     t = token_table(spark, sf_dir).select(F.size("old_lp").alias("n"), F.size(F.filter("is_output", lambda x: x)).alias("o"), tokens.total(F.col("old_lp")).alias("s"))
     return t.agg(F.count("*").alias("n_rollouts"), F.sum("n").alias("n_tokens"), F.sum("o").alias("n_output"), F.round(F.sum("s") / F.count("*"), 5).alias("lp_per_rollout"))
+
+
+_CUT = len(transcripts.CUT)
+_LEN = "CASE WHEN place >= 0 THEN coalesce(length({}), 0) ELSE 0 END"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER w - 3 AS place, count(*) OVER (PARTITION BY conv_id) - row_number() OVER w + 1 AS remain,
+    CASE WHEN bool_or(role = 'ipython') OVER (PARTITION BY conv_id) THEN 'ipython' ELSE 'user' END AS kind FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  a AS (SELECT *, place >= 0 AND role = kind AND remain > 2 AS pick, {_LEN.format('text')} AS len FROM m),
+  b AS (SELECT *, sum(len) OVER (PARTITION BY conv_id) - coalesce(sum(CASE WHEN pick THEN len - {len(transcripts.OMITTED)} ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a),
+  c AS (SELECT *, CASE WHEN pick AND min(CASE WHEN place >= 0 THEN before END) OVER (PARTITION BY conv_id ORDER BY turn) > 150 THEN '{transcripts.OMITTED}' ELSE text END AS text2 FROM b),
+  d AS (SELECT conv_id, turn, role, place, remain, text2, place >= 0 AND role = kind AND length(text2) > 60 AS pick, {_LEN.format('text2')} AS len FROM c),
+  e AS (SELECT *, sum(len) OVER (PARTITION BY conv_id) - coalesce(sum(CASE WHEN pick THEN len - 60 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+  f AS (SELECT *, CASE WHEN pick AND min(CASE WHEN place >= 0 THEN before END) OVER (PARTITION BY conv_id ORDER BY turn) > 150 THEN left(text2, {60 - _CUT}) || '{transcripts.CUT}' ELSE text2 END AS text3 FROM e),
+  g AS (SELECT *, sum({_LEN.format('text3')}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM f)
+  SELECT conv_id, turn, role, text3 AS text FROM g WHERE place < 0 OR rest <= 150 OR remain <= 2""")
+def truncated_history(spark, sf_dir):
+    return transcripts.truncated_history(table(spark, sf_dir, "conversations"), "conv_id", "turn", n_prompt=2, most=150, most_message=60, recent=2).select("conv_id", "turn", "role", "text")
+
+
+_ESC = "replace(replace(replace(replace(replace(coalesce({}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@query(f"""WITH m AS (SELECT *, row_number() OVER w - 1 AS no, coalesce(length(text), 0) AS size, sum(coalesce(length(text), 0)) OVER w AS run FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, string_agg('<section class="' || {_ESC.format('role')} || '"><h3>#' || no || ' size ' || size || ' sum ' || run || ' interaction ' || ((greatest(0, no) + 1) // 2) || '</h3><pre>' || {_ESC.format('text')} || '</pre></section>', chr(10) ORDER BY no) AS html FROM m GROUP BY conv_id""")
+def conversation_report(spark, sf_dir):
+    return transcripts.report(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text"))

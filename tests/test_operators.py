@@ -1,6 +1,7 @@
 """Hand-checked rows, and the parts that SQL can't express."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,33 @@ def test_scalars(spark):
     assert one(scalars.safe_float(F.lit("x"))) is None and one(scalars.runners(F.lit(5), F.lit(2), F.lit(3))) == 9
     df = frame(spark, [([(1.0, True), (3.0, False), (2.0, True), (2.0, True)],), ([(1.0, False)],)], "c array<struct<reward:double,valid:boolean>>")
     assert [r[0] for r in df.select(scalars.best_candidate(F.col("c"))).collect()] == [2, 0]
+
+
+@pytest.mark.parametrize("most,most_message,recent", [(120, 60, 3), (80, 40, 2), (60, 5, 4), (0, 1, 0), (10_000, 50, 2)])
+def test_history_that_has_to_fit(spark, most, most_message, recent):
+    rng = random.Random(most)
+    roles = ["assistant", "user", "ipython", "system"]
+    talks = {c: [(rng.choice(roles[: 2 + c % 3]), None if rng.random() < 0.1 else "é" * rng.choice([0, 3, 30, 70])) for _ in range(rng.randint(0, 9))] for c in range(40)}
+    want = []
+    for c, talk in talks.items():
+        seen = "ipython" if any(r == "ipython" for r, _ in talk) else "user"
+        kept = [[i, r, t] for i, (r, t) in enumerate(talk)]
+        body, size = kept[1:], lambda x: sum(len(t or "") for _, _, t in x)
+        for at, one in enumerate(body):
+            if size(body) > most and at < len(body) - recent and one[1] == seen:
+                one[2] = transcripts.OMITTED
+            elif size(body) <= most:
+                break
+        for one in body:
+            if size(body) <= most:
+                break
+            if one[1] == seen and len(one[2] or "") > most_message:
+                one[2] = one[2][: max(1, most_message - len(transcripts.CUT))] + transcripts.CUT
+        while size(body) > most and len(body) > recent:
+            body = body[1:]
+        want += [(c, *one) for one in kept[:1] + body]
+    rows = [(c, i, r, t, 1) for c, talk in talks.items() for i, (r, t) in enumerate(talk)]
+    frame = spark.createDataFrame(rows, "conv int, turn int, role string, text string, rest int")
+    got = transcripts.truncated_history(frame, "conv", "turn", most=most, most_message=most_message, recent=recent)
+    assert got.columns == frame.columns
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want, key=lambda x: x[:2])
