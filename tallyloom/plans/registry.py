@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import scalars
+from tallyloom.functions import scalars, tokenizers
 from tallyloom.operators import advantages as adv
 from tallyloom.operators import checkpoints as cp
 from tallyloom.operators import metrics, sampling, tokens, transcripts, windows
@@ -18,6 +18,8 @@ from tallyloom.storage import shared_dir
 from tallyloom.streaming import batches
 
 FLAGSHIP = "advantage_loo"
+#: The tokenizer of the queries that count tokens.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -522,3 +524,15 @@ _ESC = "replace(replace(replace(replace(replace(coalesce({}, ''), '&', '&amp;'),
   SELECT conv_id, string_agg('<section class="' || {_ESC.format('role')} || '"><h3>#' || no || ' size ' || size || ' sum ' || run || ' interaction ' || ((greatest(0, no) + 1) // 2) || '</h3><pre>' || {_ESC.format('text')} || '</pre></section>', chr(10) ORDER BY no) AS html FROM m GROUP BY conv_id""")
 def conversation_report(spark, sf_dir):
     return transcripts.report(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text"))
+
+
+@query(None)
+def message_tokens(spark, sf_dir):
+    size = tokenizers.message_size(spark, TOKENIZER, F.col("role"), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", size.alias("n_tokens"))
+
+
+@query(None)
+def output_cut_to_tokens(spark, sf_dir):
+    cut = tokenizers.cut_to_tokens(spark, TOKENIZER, F.col("text"), 50)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cut.alias("text"))

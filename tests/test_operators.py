@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions import scalars
+from tallyloom.functions import scalars, tokenizers
 from tallyloom.operators import advantages as adv
 from tallyloom.operators import checkpoints as cp
 from tallyloom.operators import metrics, tokens, transcripts, windows
@@ -158,3 +158,24 @@ def test_history_that_has_to_fit(spark, most, most_message, recent):
     got = transcripts.truncated_history(frame, "conv", "turn", most=most, most_message=most_message, recent=recent)
     assert got.columns == frame.columns
     assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want, key=lambda x: x[:2])
+
+
+def test_tokens_of_a_named_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    plain = Tokenizer.from_file(path)
+    size = lambda t: len(plain.encode(t, add_special_tokens=False))
+    texts = ["", None, "Zwölf Äpfel\nand more", "word " * 80, "line\n" + "x y " * 60, "é" * 200, "short"]
+    df = frame(spark, [(i, "user", t) for i, t in enumerate(texts)], "k int, role string, text string")
+    out = df.select("k", tokenizers.message_size(spark, path, F.col("role"), F.col("text")).alias("n"), tokenizers.cut_to_tokens(spark, path, F.col("text"), 50).alias("cut"))
+    got = {r.k: r for r in out.collect()}
+    for k, t in enumerate(texts):
+        assert got[k].n == size(t or "") + size("user") + size("\n\n") + 2
+        if t is None or size(t) <= 20:
+            assert got[k].cut == t
+            continue
+        kept = got[k].cut.removesuffix(tokenizers.NOTICE)
+        assert kept != got[k].cut and t.startswith(kept) and size(kept) <= 20
+    assert got[3].cut.startswith("word word")
+    assert got[4].cut == "line" + tokenizers.NOTICE
