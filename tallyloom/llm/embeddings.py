@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by an inverted multi-index: product cells, multi-sequence traversal, verification."""
+"""Near-duplicate vectors by an inverted multi-index: product cells, cells within the threshold's distance, verification."""
 
 from __future__ import annotations
 
@@ -16,21 +16,25 @@ from tallyloom.llm.text import bounded_batches
 from tallyloom.storage import materialise
 
 THRESHOLD = 0.9
-#: Vectors that the codebooks are fitted on, and that the number of visited cells is measured with, about.
+#: Vectors that the codebooks are fitted on, and that the cost of their number is estimated with, about.
 TRAIN_VECTORS, PROBE_VECTORS = 20_000, 500
 #: Codewords of each half, at most, and vectors of the sample for each of them.
 CODEWORDS, VECTORS_EACH = 48, 40
-#: Share of the sampled queries' links that lie in the cells that are visited.
-RECALL = 0.9995
-#: Vectors on either side of a comparison.
-BLOCK = 256
+#: Vectors on either side of a task's comparison, and queries that are compared at once.
+BLOCK, CHUNK = 4096, 256
+#: Comparisons that cost as much as sending a vector to a cell.
+SHIPPED = 500
+#: What rounding may add to a squared distance.
+SLACK = 1e-9
+#: Rows of a batch that goes out.
+OUT_ROWS = 4096
 
 
 class MultiIndex:
     """Two codebooks, one for each half of a vector; a cell is a pair of codewords."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, cells: int = 1):
-        self.left, self.right, self.cells = left, right, cells
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.left, self.right = left, right
 
     def distances(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.left.shape[1]
@@ -40,6 +44,16 @@ class MultiIndex:
         a, b = self.distances(units)
         return a.argmin(axis=1) * len(self.right) + b.argmin(axis=1)
 
+    def within(self, units: np.ndarray, limit: float) -> np.ndarray:
+        """Whether a cell may hold vectors whose squared distance is up to ``limit``, by vector and cell.
+
+        A vector of a cell is on its codeword's side of the bisectors with all other codewords; the
+        squared distances from these in both halves add up to no more than the distance from the vector.
+        """
+        (a, b), out = self.distances(units), np.empty((len(units), len(self.left) * len(self.right)), dtype=bool)
+        a, b = _apart(a, self.left), _apart(b, self.right)
+        return np.less_equal((a[:, :, None] + b[:, None, :]).reshape(out.shape), limit + SLACK, out=out)
+
     def visits(self, units: np.ndarray, cells: int) -> list[list[int]]:
         """The ``cells`` nearest cells of each vector, nearest first."""
         a, b = self.distances(units)
@@ -63,6 +77,16 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
 
 
+def _apart(squared: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Least squared distance from vectors to those nearest to each centre, from the squared distances to the centres."""
+    gaps = np.sqrt(np.maximum(_squared(centres, centres), 0))
+    bound = np.zeros_like(squared)
+    for k in range(len(centres)):  # bisectors with centre k
+        far = gaps[k] > 1e-6
+        bound[:, far] = np.maximum(bound[:, far], (squared[:, far] - squared[:, k : k + 1]) / (2 * gaps[k, far]))
+    return bound * bound
+
+
 def _codebook(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k-means, started from k of the vectors."""
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
@@ -98,51 +122,33 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(raw, pa.binary()), pa.array(keys, pa.binary())], names=[*names, "raw", "key"])
 
 
-def fit(distinct: DataFrame, n: int) -> MultiIndex | None:
-    """Codebooks fitted on about ``TRAIN_VECTORS`` vectors, and how many cells hold ``RECALL`` of the links.
+def fit(distinct: DataFrame, n: int, threshold: float = THRESHOLD) -> MultiIndex:
+    """Codebooks fitted on about ``TRAIN_VECTORS`` vectors; their size is the one of least cost on the sample.
 
-    About ``PROBE_VECTORS`` vectors are compared with all others; the ranks of their links' cells in their
-    own traversals are counted where the vectors are.
+    No size loses a link: it only decides how many cells there are to be sent to and how full they are.
     """
-    spark = distinct.sparkSession
     u = F.pmod(F.xxhash64(F.lit("index"), "key"), F.lit(1 << 20)) / float(1 << 20)
     sample = [bytes(r.raw) for r in distinct.filter(u < min(1.0, TRAIN_VECTORS / n)).select("key", "raw").orderBy("key").collect()]
     if not sample:
         sample = [bytes(distinct.select("raw").first().raw)]
     units = _unit(sample)
-    k = max(1, min(CODEWORDS, len(units) // VECTORS_EACH))
+    most = max(1, min(CODEWORDS, len(units) // VECTORS_EACH))
     half = (units.shape[1] + 1) // 2
-    index = MultiIndex(_codebook(units[:, :half], k, 1), _codebook(units[:, half:], k, 2))
     queries = units[:: max(1, -(-len(units) // PROBE_VECTORS))]
-    ranks = np.zeros((len(queries), k * k), dtype=np.int64)
-    for q, order in enumerate(index.visits(queries, k * k)):
-        ranks[q, order] = np.arange(k * k)
-    shared = spark.sparkContext.broadcast((index, queries, ranks))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, queries, ranks = shared.value
-        sums = np.zeros(ranks.shape[1], dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                x = _unit(batch.column("raw").to_pylist())
-                q, y = np.nonzero((c := queries @ x.T) >= THRESHOLD)
-                other = c[q, y] < 1 - 1e-12  # not the query itself
-                sums += np.bincount(ranks[q[other], index.cell(x)[y[other]]], minlength=len(sums))
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["rank", "n"])
-
-    found = sorted(tuple(r) for r in distinct.select("raw").mapInArrow(count, "rank long, n long").groupBy("rank").agg(F.sum("n")).collect())
-    total, upto = sum(n for _, n in found), 0
-    for rank, n in found:
-        upto += n
-        if upto >= RECALL * total:
-            index.cells = rank + 1
-            break
-    return index
-
-
-def _place(shared):
-    """Each vector in its cell (side 0), with the cells it visits, and in those cells (side 1)."""
+    best = None
+    for k in sorted({most, *(1 << x for x in range(most.bit_length()))}):
+        index = MultiIndex(_codebook(units[:, :half], k, 1), _codebook(units[:, half:], k, 2))
+        share = np.bincount(index.cell(units), minlength=k * k) / len(units)
+        seen = index.within(queries, 2 - 2 * threshold) & (np.arange(k * k) >= index.cell(queries)[:, None])
+        met = n * (seen @ share).mean()
+        cost = seen.sum(axis=1).mean() + 2 * met / BLOCK + met / SHIPPED
+        if best is None or cost < best[0]:
+            best = cost, index
+    return best[1]
+
+
+def _place(shared, threshold: float):
+    """Each vector in its cell (side 0), and in the cells from its own on that may hold a link of it (side 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -150,12 +156,15 @@ def _place(shared):
             if not batch.num_rows:
                 continue
             x = _unit(batch.column("raw").to_pylist())
-            own, visits = index.cell(x), index.visits(x, index.cells)
-            rows = np.repeat(np.arange(len(x)), [1 + len(v) for v in visits])
-            cell = [c for o, v in zip(own.tolist(), visits) for c in (o, *v)]
-            side = [s for v in visits for s in (0, *(1 for _ in v))]
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(own[rows]), pa.array([visits[r] for r in rows], pa.list_(pa.int64())), pa.array(cell, pa.int64()), pa.array(side, pa.int32())], names=[*taken.schema.names, "own", "visits", "cell", "side"])
+            own, seen = index.cell(x), index.within(x, 2 - 2 * threshold)
+            # a link between two cells is met by the vector of the first one
+            row, cell = np.nonzero((seen & (np.arange(seen.shape[1]) > own[:, None])) | (np.arange(seen.shape[1]) == own[:, None]))
+            rows, cells = np.concatenate([np.arange(len(x)), row]), np.concatenate([own, cell])
+            side = np.repeat(np.array([0, 1], dtype=np.int32), [len(x), len(row)])
+            for at in range(0, len(rows), OUT_ROWS):
+                part = slice(at, at + OUT_ROWS)
+                taken = batch.take(pa.array(rows[part]))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(own[rows[part]]), pa.array(cells[part]), pa.array(side[part])], names=[*taken.schema.names, "own", "cell", "side"])
 
     return run
 
@@ -166,30 +175,29 @@ def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         side, keys = np.array(table.column("side").to_pylist()), table.column("key").to_pylist()
         members, queries = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        sums, edges, parent = {}, [], {}
+        place = {k: n for n, k in enumerate(dict.fromkeys(keys))}
+        node, edges = np.array([place[k] for k in keys], dtype=np.int64), []
+        sums, group = np.zeros(len(place), dtype=np.int64), np.arange(len(place))
         if len(members) and len(queries):
-            raw, times = table.column("raw").to_pylist(), table.column("times").to_pylist()
-            own, cell = table.column("own").to_pylist(), table.column("cell")[0].as_py()
-            x = _unit(raw)
-            visited = [set(v) for v in table.column("visits").take(pa.array(members)).to_pylist()]
-
-            def root(k: bytes) -> bytes:
-                while parent.setdefault(k, k) != k:
-                    parent[k] = k = parent[parent[k]]
-                return k
-
-            for q, m in zip(*np.nonzero(x[queries] @ x[members].T >= threshold)):
-                a, b = queries[q], members[m]
-                if keys[a] == keys[b]:
-                    continue
-                sums[keys[a]] = sums.get(keys[a], 0) + times[b]
-                if own[a] not in visited[m]:  # the member never meets the visitor elsewhere
-                    sums[keys[b]] = sums.get(keys[b], 0) + times[a]
-                if root(keys[a]) != root(keys[b]):
-                    parent[root(keys[a])] = root(keys[b])
-                    edges.append((keys[a], keys[b]))
-        a = [*sums, *(e[0] for e in edges)]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array([None] * len(sums) + [e[1] for e in edges], pa.binary()), "n": pa.array([*sums.values(), *([0] * len(edges))], pa.int64())})
+            x, times = _unit(table.column("raw").to_pylist()), np.array(table.column("times").to_pylist(), dtype=np.int64)
+            elsewhere = np.array(table.column("own").to_pylist()) != table.column("cell")[0].as_py()
+            for at in range(0, len(queries), CHUNK):
+                part = queries[at : at + CHUNK]
+                close = (x[part] @ x[members].T >= threshold) & (node[part][:, None] != node[members][None, :])
+                for r in np.flatnonzero(close.any(axis=1)):
+                    q, hit = part[r], members[close[r]]
+                    sums[node[q]] += times[hit].sum()
+                    if elsewhere[q]:  # the members never meet the visitor themselves
+                        np.add.at(sums, node[hit], times[q])
+                    others, first = np.unique(group[node[hit]], return_index=True)
+                    new = others != group[node[q]]
+                    if new.any():
+                        edges += [(keys[q], keys[m]) for m in hit[first[new]]]
+                        group[np.isin(group, others[new])] = group[node[q]]
+        names = list(place)
+        counted = np.flatnonzero(sums)
+        a = [*(names[n] for n in counted), *(e[0] for e in edges)]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array([None] * len(counted) + [e[1] for e in edges], pa.binary()), "n": pa.array([*sums[counted].tolist(), *([0] * len(edges))], pa.int64())})
 
     return run
 
@@ -198,9 +206,9 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """Links of cosine ``threshold`` or more between all vectors, and their components.
 
     Equal vectors are one entry with a number of copies.  An entry stands in the cell of its nearest
-    codewords and visits as many cells, nearest first, as hold ``RECALL`` of the links of a sample; it is
-    compared with all that stand there, block against block in double precision.  Nothing below the
-    threshold links; a pair found from either side counts once.
+    codewords and visits all cells, from its own on, that may hold a vector within the threshold's
+    distance; it is compared with all that stand there, block against block in double precision.  All
+    pairs at the threshold link and nothing below it does, whatever the codebooks are.
 
     Returns id, n_links (other rows linked directly), component_id (smallest id reachable) and kept (id =
     component_id).  Vectors that are null, empty, zero or hold null or non-finite components, and those
@@ -218,8 +226,8 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return packed.select(F.col("id").alias(id_col), alone.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     usable = packed.filter(F.octet_length("raw") == lengths["length"])
     distinct = materialise(usable.groupBy("key").agg(F.first("raw").alias("raw"), F.min("id").alias("least"), F.count("*").alias("times")), "vec-distinct")
-    index = index or fit(distinct, distinct.count())
-    placed = distinct.select("key", "raw", "times").mapInArrow(_place(spark.sparkContext.broadcast(index)), "key binary, raw binary, times long, own long, visits array<long>, cell long, side int")
+    index = index or fit(distinct, distinct.count(), threshold)
+    placed = distinct.select("key", "raw", "times").mapInArrow(_place(spark.sparkContext.broadcast(index), threshold), "key binary, raw binary, times long, own long, cell long, side int")
     placed = materialise(placed, "vec-placed")
     many = placed.groupBy("cell").agg(*(F.ceil(F.count_if(F.col("side") == s) / BLOCK).cast("int").alias(f"blocks{s}") for s in (0, 1)))
     tiles = placed.join(many.filter("blocks0 > 0"), "cell")

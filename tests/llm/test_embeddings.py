@@ -71,3 +71,26 @@ def test_traversal_is_by_distance():
     for k, order in enumerate(index.visits(x, 20)):
         sums = [a[k, c // 4] + b[k, c % 4] for c in order]
         assert sorted(order) == list(range(20)) and sums == sorted(sums) and order[0] == index.cell(x)[k]
+
+
+def test_sparse_pairs_and_a_hot_group_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "VECTORS_EACH", 40)
+    monkeypatch.setattr(embeddings, "PROBE_VECTORS", 20)
+    rng = np.random.default_rng(11)
+
+    def partner(v, cosine):
+        side = rng.normal(size=8)
+        side -= side @ v / (v @ v) * v
+        return cosine * v / np.linalg.norm(v) + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+
+    # the codebooks are fitted on other vectors than the pairs, so that no probe has a link
+    many = rng.normal(size=(3000, 8))
+    left, right = embeddings._codebook(many[:, :4], 12, 1), embeddings._codebook(many[:, 4:], 12, 2)
+    some = rng.normal(size=(150, 8))
+    vectors = [*some, *(partner(v, c) for v in some[:60] for c in (0.905, 0.95))]
+    vectors += [many[0] / np.linalg.norm(many[0]) + rng.normal(size=8) * 0.05 for _ in range(300)]
+    vectors = [v.tolist() for v in vectors]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    want = brute(list(range(len(vectors))), vectors)
+    assert sorted(tuple(r) for r in embeddings.linked(frame, index=embeddings.MultiIndex(left, right)).collect()) == want
+    assert sorted(tuple(r) for r in embeddings.linked(frame).collect()) == want
