@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from tallyloom.storage import materialise
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
 MOST_EPOCHS = 3
+#: Documents that may still fit are gone through one by one, a source in a task, if they are no more than these.
+TAIL = 100_000
 
 
 def mix(
@@ -32,8 +37,9 @@ def mix(
     target stops at ``most_epochs`` times its source's size and the excess goes to the others by
     weight.  A source gives whole passes while they fit; the rest goes to the documents of smallest
     -ln(u)/w, where u is a hash of the id and w the document's quality weight, while the sum of their sizes
-    stays within the words left.  Of the documents behind them the one whose size comes nearest to what is
-    still missing, the first by key of several, is taken as well if this comes nearer the target.
+    stays within the words left.  A document that does not fit is passed over and those behind it that
+    still fit are taken in turn.  When none does, of those passed over the one whose size comes nearest to what
+    is still missing, the first by key of several, is taken as well if this comes nearer the target.
 
     ``quality`` (id, quality) weighs a document 0.5 + its mean quality, absent or null quality 1.
     Returns id, ``carry`` columns, size, source_size, target, times, taken.  Null or empty texts have
@@ -63,11 +69,17 @@ def mix(
     left = F.col("target") - epochs * F.col("source_size")
     joined = joined.withColumns({"_epochs": epochs, "_left": left, "_within": (F.col("upto") <= left) & (F.col("size") > 0)})
     filled = joined.groupBy("_s").agg(F.coalesce(F.max(F.when(F.col("_within"), F.col("upto"))), F.lit(0)).alias("_filled")).withColumnRenamed("_s", "_f")
-    missing = F.col("_left") - F.col("_filled")
-    behind = joined.filter("NOT _within AND size > 0").join(filled, F.col("_s").eqNullSafe(F.col("_f"))).filter(F.abs(missing - F.col("size")) < missing)
-    last = behind.groupBy("_s").agg(F.min(F.struct(F.abs(missing - F.col("size")).alias("off"), "pos")).alias("_last")).select(F.col("_s").alias("_l"), F.col("_last.pos").alias("_last"))
-    joined = joined.join(last, F.col("_s").eqNullSafe(F.col("_l")), "left")
-    more = F.col("_within") | F.coalesce(F.col("pos") == F.col("_last"), F.lit(False))
+    gap = F.col("_left") - F.col("_filled")
+    behind = joined.filter("NOT _within AND size > 0").join(filled, F.col("_s").eqNullSafe(F.col("_f"))).select("source", "pos", "size", gap.alias("gap"))
+    later = materialise(_fitting(behind), "mix-later")
+    used = later.groupBy("source").agg(F.sum("size").alias("_used")).withColumnRenamed("source", "_u")
+    passed = behind.join(later.select(F.col("source").alias("_t"), F.col("pos").alias("_at")), F.col("source").eqNullSafe(F.col("_t")) & (F.col("pos") == F.col("_at")), "left_anti")
+    passed = passed.join(used, F.col("source").eqNullSafe(F.col("_u")), "left")
+    missing = F.col("gap") - F.coalesce("_used", F.lit(0))
+    last = passed.filter(F.abs(missing - F.col("size")) < missing).groupBy("source").agg(F.min(F.struct(F.abs(missing - F.col("size")).alias("off"), "pos")).alias("_last")).select("source", "_last.pos")
+    extra = later.select("source", "pos").unionByName(last).select(F.col("source").alias("_l"), F.col("pos").alias("_at"))
+    joined = joined.join(extra, F.col("_s").eqNullSafe(F.col("_l")) & (F.col("pos") == F.col("_at")), "left")
+    more = F.col("_within") | F.col("_at").isNotNull()
     times = F.least(F.col("_epochs") + F.when(more, 1).otherwise(0), F.lit(most_epochs)).cast("long")
     return joined.withColumn("times", times).select(
         F.col("doc_id").alias(id_col), F.col("source").alias(source_col), *(F.col(f"_c_{c}").alias(c) for c in carry), "size", "source_size", "target", "times",
@@ -75,6 +87,34 @@ def mix(
     )
 
 
+def _fitting(behind: DataFrame) -> DataFrame:
+    """source, pos and size of the documents that are taken where each, in order of pos, is taken if it fits its source's gap."""
+    kind = behind.schema["source"].dataType.simpleString()
+    schema, taken, rest = f"source {kind}, pos long, size long", [], behind
+    while True:
+        rest = materialise(rest.filter("size <= gap"), "mix-rest")
+        if rest.count() <= TAIL:
+            taken.append(rest.groupBy("source").applyInArrow(_in_turn, schema))
+            return reduce(DataFrame.unionAll, taken)
+        # sums up to the first that crosses the gap; those behind it meet a smaller gap
+        order = [F.col("source").asc_nulls_last(), F.col("_at")]
+        summed = materialise(positioned(rest.withColumnRenamed("pos", "_at"), order, "size", "mix-round", "source"), "mix-summed")
+        fits = summed.filter("upto <= gap")
+        taken.append(fits.select("source", F.col("_at").alias("pos"), "size"))
+        used = fits.groupBy(F.col("source").alias("_u")).agg(F.max("upto").alias("_used"))
+        rest = summed.filter("upto > gap").join(used, F.col("source").eqNullSafe(F.col("_u"))).select("source", F.col("_at").alias("pos"), "size", (F.col("gap") - F.col("_used")).alias("gap"))
+
+
+def _in_turn(table: pa.Table) -> pa.Table:
+    table = table.sort_by("pos")
+    gap, own = table.column("gap")[0].as_py(), []
+    for k, size in enumerate(table.column("size").to_pylist()):
+        if size <= gap:
+            gap -= size
+            own.append(k)
+    return table.take(pa.array(own, pa.int64())).select(["source", "pos", "size"])
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
     """source, source_size and target of each source, by filling up to the caps."""
     order = [F.col("source").asc_nulls_last()]

@@ -96,3 +96,17 @@ def test_mix_prefers_quality_and_takes_empty_tables(spark):
     good = sum(r.taken for r in rows if r.doc_id % 2)
     assert good > 1.2 * sum(r.taken for r in rows if r.doc_id % 2 == 0)
     assert mix(d.limit(0), quality).count() == 0
+
+
+@pytest.mark.parametrize("tail", [10**6, 0])
+def test_mix_goes_on_behind_a_document_that_does_not_fit(spark, monkeypatch, tail):
+    monkeypatch.setattr("tallyloom.llm.mixing.TAIL", tail)
+    rng = random.Random(8)
+    docs = [(1000 * s + k, "w " * rng.randint(10, 20), f"s{s:02d}") for s in range(24) for k in range(100)]
+    docs += [(1000 * s + 500, "long " * 750, f"s{s:02d}") for s in range(24)]  # a third of its source's words
+    taken, target = defaultdict(int), {}
+    for r in mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    # every third source has 0.375 of its words left to give, for which its short documents suffice
+    assert all(abs(taken[s] - target[s]) <= 20 for s in sorted(target)[2::3])
