@@ -71,3 +71,15 @@ def test_inheritance_from_the_nearest_directory(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_wrapped_headers_identifiers_and_whole_texts(spark):
+    mpl = "/* This Source Code Form is subject to the terms of the\n * Mozilla Public License, v. 2.0. If a copy of the MPL was\n * not distributed with this file, You can obtain one at\n * https://mozilla.org/MPL/2.0/. */\nint x = 1;\nint y = 2;"
+    bsd = "# Redistribution and use in source and binary\n# forms, with or without modification, are\n# permitted provided that the following\n# conditions are met:\n\nrun()"
+    mit = next(t for n, t in TEMPLATES if n == "MIT" and "NONINFRINGEMENT" in t).split()
+    mit = "\n".join(" ".join(mit[k : k + 6]) for k in range(0, len(mit), 6))
+    files = [("a/x.c", mpl), ("b/y.py", bsd), ("c/z.py", "# SPDX-License-Identifier: GPL-2.0-or-later\nrun()"), ("d/w.py", "# SPDX-License-Identifier: Zlib\nrun()"), ("e/text", mit), ("e/sub/code", "run()")]
+    got = {r.path: (r.license, r.origin) for r in scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["a/x.c"] == ("MPL-2.0", "own") and got["b/y.py"] == ("BSD-3-Clause", "own")
+    assert got["c/z.py"] == ("GPL-2.0", "own") and got["d/w.py"] == ("Zlib", "own")
+    assert got["e/text"] == ("MIT", "own") and got["e/sub/code"] == ("MIT", "directory")
