@@ -106,13 +106,15 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", carry
         F.when(cued, F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), _listed)).otherwise(F.array().cast("array<string>")).alias("stated"),
     )
     scanned = materialise(scanned, "license-scan")
-    single = scanned.select("row", F.explode("lines").alias("line")).groupBy("row", "line").agg(F.count("*").alias("n"))
-    blocks = scanned.select("row", F.explode("blocks").alias("line")).distinct()
-    best = materialise(_best(spark, single.select("line").distinct(), blocks.select("line").distinct(), threshold), "license-best")
-    length = F.size(F.split("line", " "))
+    # lines and blocks go by their digest, as a block is long and has many words
+    length = F.size(F.split("line", " ")).alias("length")
+    single = scanned.select("row", F.explode("lines").alias("line")).select("row", F.md5("line").alias("line"), length).groupBy("row", "line", "length").agg(F.count("*").alias("n"))
+    blocks = scanned.select("row", F.explode("blocks").alias("line")).select("row", F.md5("line").alias("line"), length).distinct()
+    texts = lambda name: scanned.select(F.explode(name).alias("text")).select(F.md5("text").alias("line"), "text")
+    best = materialise(_best(spark, texts("lines"), texts("blocks"), threshold), "license-best")
     stated = scanned.select("row", F.explode("stated").alias("license"), F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("alone"), F.lit(0).alias("joined"))
-    of_lines = single.join(best, "line").select("row", "license", "score", (length * F.col("n")).alias("alone"), F.lit(0).alias("joined"))
-    of_blocks = blocks.join(best, "line").select("row", "license", "score", F.lit(0).cast("long").alias("alone"), length.alias("joined"))
+    of_lines = single.join(best, "line").select("row", "license", "score", (F.col("length") * F.col("n")).alias("alone"), F.lit(0).alias("joined"))
+    of_blocks = blocks.join(best, "line").select("row", "license", "score", F.lit(0).cast("long").alias("alone"), F.col("length").alias("joined"))
     notices = materialise(of_lines.unionByName(of_blocks).unionByName(stated), "license-notices")
     top = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license")))
     covered = F.greatest(F.sum("alone"), F.max("joined")).alias("covered")
@@ -151,12 +153,13 @@ def _best(spark: SparkSession, lines: DataFrame, blocks: DataFrame, threshold: f
     templates = reduce(DataFrame.union, [spark.range(1).select(F.lit(k).alias("template"), F.lit(name).alias("license"), _normal(F.lit(text)).alias("line")) for k, (name, text) in enumerate(TEMPLATES)])
     templates = materialise(templates.coalesce(1), "license-templates")
     term = F.explode(F.split("line", " ")).alias("term")
-    all_lines = lines.select("line", F.lit(True).alias("counts")).union(blocks.select("line", F.lit(False))).groupBy("line").agg(F.max("counts").alias("counts"))
-    of_lines = all_lines.filter("line <> ''").select("line", "counts", term).groupBy("line", "counts", "term").agg(F.count("*").alias("tf"))
+    each = lines.select("line", "text", F.lit(True).alias("counts")).union(blocks.select("line", "text", F.lit(False)))
+    all_lines = each.groupBy("line").agg(F.first("text").alias("text"), F.max("counts").alias("counts"))
+    of_lines = all_lines.filter("text <> ''").select("line", "counts", F.explode(F.split("text", " ")).alias("term")).groupBy("line", "counts", "term").agg(F.count("*").alias("tf"))
     of_lines = materialise(of_lines, "license-terms")
     of_templates = templates.select("template", "license", term).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
     frequency = of_lines.filter("counts").select("term").union(of_templates.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = lines.agg(F.count("*").alias("_total")).select(F.col("_total") + len(TEMPLATES)).first()[0]
+    total = lines.agg(F.count_distinct("line").alias("_total")).select(F.col("_total") + len(TEMPLATES)).first()[0]
     weight = F.col("tf") * (1 + F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))))
     a = materialise(of_lines.join(frequency, "term", "left").select("line", "term", weight.alias("w")), "license-weights")
     b = of_templates.join(frequency, "term").select("template", "license", "term", weight.alias("v"))
