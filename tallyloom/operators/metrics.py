@@ -52,3 +52,34 @@ def scenario_completion(df: DataFrame, scenario: str, task: str) -> DataFrame:
     """Share of scenarios (SGC) all of whose tasks have a success."""
     tasks = df.groupBy(scenario, task).agg(F.bool_or("success").alias("ok"))
     return tasks.groupBy(scenario).agg(F.bool_and("ok").alias("ok")).agg(F.count("*").alias("n_scenarios"), F.avg(F.col("ok").cast("double")).alias("sgc"))
+
+
+def named(df: DataFrame, source: str, difficulty: str, prefix: str = "") -> DataFrame:
+    """name and value of each group's metrics: ``<metric>__<group>``, with the mean over difficulties and the total.
+
+    Long format: as many rows as groups, so that new groups need no new columns; ``wide`` gives columns.
+    """
+    success = F.avg(F.col("success").cast("double"))
+    by_source = df.groupBy(F.col(source).cast("string").alias("g")).agg(success.alias("source_success_rate"), F.avg("ret").alias("source_avg_return"))
+    by_difficulty = df.groupBy(F.col(difficulty).cast("string").alias("g")).agg(success.alias("success_rate"), F.count("*").cast("double").alias("n_rollouts"))
+    over = by_difficulty.agg(F.avg("success_rate").alias("success_rate__avg_over_dfcty"), F.sum("n_rollouts").alias("n_rollouts__total"))
+    parts = [f.unpivot(["g"], f.columns[1:], "m", "value").select(F.concat_ws("__", "m", "g").alias("name"), "value") for f in (by_source, by_difficulty)]
+    totals = over.unpivot([], over.columns, "name", "value")
+    return parts[0].union(parts[1]).union(totals).select(F.concat(F.lit(prefix), "name").alias("name"), "value")
+
+
+def wide(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """One row with a column for each of the named metrics, null for those that are not there."""
+    return metrics.agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
+
+
+def throughput(df: DataFrame, elapsed: float) -> DataFrame:
+    """Output tokens and rollouts a second of one evaluation; df has n_output for each rollout."""
+    total = F.coalesce(F.sum("n_output"), F.lit(0))
+    return df.agg(total.alias("output_tokens_per_iteration"), (total / elapsed).alias("output_tokens_per_sec"), (F.count("*") / elapsed).alias("rollouts_per_sec"))
+
+
+def peak_memory(df: DataFrame, key: str, peak: str, items: str) -> DataFrame:
+    """Mean peak in MB by key, and a MB an item, null if any measurement had no items."""
+    mb = F.col(peak) / 1024**2
+    return df.groupBy(key).agg(F.avg(mb).alias("mb_peak"), F.when(F.min(F.col(items) != 0), F.avg(F.try_divide(mb, items))).alias("mb_per_item"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.scalars import html_escaped
 
@@ -18,17 +19,26 @@ DUMMY_EXTENDED = r"(?i)\b(?:dummy|placeholder|fake|example)\b"
 CAPITULATION = r"(?i)\b(?:cannot|can't|unable|give up)\b|instead assume|let'?s assume|dummy"
 CALL = r"\bapis\.([A-Za-z_][A-Za-z0-9_]*)\.([A-Za-z_][A-Za-z0-9_]*)\s*\("
 FENCE, OPEN_FENCE = r"(?is)```(?:python|py)\s*\n?(.*?)```", r"(?is)```(?:python|py)\s*\n?(.*)$"
-#: The name space of calls that read documentation.
-DOCS_APP = "api_docs"
-
-
-def turn_pairs(messages: DataFrame, key: str, order: str, role: str = "role", text: str = "text", asks: tuple[str, ...] = ("assistant",), answers: tuple[str, ...] = ("user", "ipython")) -> DataFrame:
+#: Closed blocks one after another, from the start of a text to the end of the last.
+CLOSED = r"(?is)\A(?:.*?```(?:python|py)\s*\n?.*?```)+"
+#: The name space of calls that read documentation, and its calls that list an app's APIs and show one.
+DOCS_APP, DESCRIBE, SHOW = "api_docs", "show_api_descriptions", "show_api_doc"
+DOCS_CALL = r"\bapis\.api_docs\.{}\s*\([^)]*\)"
+#: Any call with its arguments as far as a closing bracket; nothing after the name space is used up.
+ANY_CALL = r"\bapis\.(?=([A-Za-z_][A-Za-z0-9_]*)\.([A-Za-z_][A-Za-z0-9_]*)\s*\(([^)]*)(\)?))"
+APP_NAME, API_NAME = r"app_name\s*=\s*['\"]([^'\"]+)['\"]", r"api_name\s*=\s*['\"]([^'\"]+)['\"]"
+#: What an observation of code that failed holds.
+FAILED = "Execution failed."
+
+
+def turn_pairs(messages: DataFrame, key: str | list[str], order: str, role: str = "role", text: str = "text", asks: tuple[str, ...] = ("assistant",), answers: tuple[str, ...] = ("user", "ipython")) -> DataFrame:
     """Each assistant message with the first answer before the next one, '' if there is none."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    keys = [key] if isinstance(key, str) else key
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     turns = messages.withColumn("turn_no", F.count_if(F.col(role).isin(*asks)).over(w)).filter("turn_no > 0")
     first = F.min_by(F.when(F.col(role).isin(*answers), F.col(text)), F.when(F.col(role).isin(*answers), F.col(order)))
     said = F.max(F.when(F.col(role).isin(*asks), F.col(text)))
-    return turns.groupBy(key, "turn_no").agg(said.alias("said"), F.coalesce(first, F.lit("")).alias("observation"))
+    return turns.groupBy(*keys, "turn_no").agg(said.alias("said"), F.coalesce(first, F.lit("")).alias("observation"))
 
 
 def count_pattern(text: Column, pattern: str) -> Column:
@@ -40,13 +50,64 @@ def invalid_api_hits(text: Column, patterns: list[str] = INVALID_API) -> Column:
 
 
 def code_blocks(text: Column) -> Column:
-    """Fenced Python blocks, trimmed, and an unclosed one at the end."""
+    """Fenced Python blocks, trimmed, and an unclosed one behind the last of them."""
     closed = F.regexp_extract_all(text, F.lit(FENCE), F.lit(1))
-    rest = F.regexp_extract(F.regexp_replace(text, FENCE, ""), OPEN_FENCE, 1)
-    blocks = F.when(F.trim(rest) != "", F.concat(closed, F.array(rest))).otherwise(closed)
+    rest = F.regexp_extract(F.regexp_replace(text, CLOSED, ""), OPEN_FENCE, 1)
+    blocks = F.when(F.trim(F.regexp_replace(rest, r"\s+", " ")) != "", F.concat(closed, F.array(rest))).otherwise(closed)
     return F.transform(blocks, lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
 
 
+def code_text(text: Column) -> Column:
+    """Fenced blocks, marked in lower case, each ended by a line feed, and then the last unclosed one; '' if there is no code."""
+    closed = F.regexp_extract_all(text, F.lit(r"(?s)```(?:python|py)\n?(.*?)```"), F.lit(1))
+    rest = F.regexp_replace(text, r"(?s)\A(?:.*?```(?:python|py)\n?.*?```)+", "")
+    strip = lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")
+    whole = F.array_join(F.transform(closed, lambda b: F.concat(strip(b), F.lit("\n"))), "")
+    return F.coalesce(F.concat(whole, strip(F.regexp_extract(rest, r"(?s).*```(?:python|py)\n?(.*)", 1))), F.lit(""))
+
+
+def code_events(code: Column) -> Column:
+    """(kind, app, api) of a block's calls in the order of their places: description and doc of the documentation's, call of others.
+
+    Documentation counts where its arguments name what is read and their bracket is closed.
+    """
+    apps, apis, arguments, ends = (F.regexp_extract_all(code, F.lit(ANY_CALL), F.lit(k)) for k in (1, 2, 3, 4))
+    found = F.arrays_zip(apps.alias("app"), apis.alias("api"), arguments.alias("arguments"), ends.alias("end"))
+
+    def event(c: Column) -> Column:
+        docs = (c["app"] == DOCS_APP) & (c["end"] == ")")
+        app, api = F.regexp_extract(c["arguments"], APP_NAME, 1), F.regexp_extract(c["arguments"], API_NAME, 1)
+        kind = F.when(c["app"] != DOCS_APP, "call").when(docs & (c["api"] == DESCRIBE) & (app != ""), "description").when(docs & (c["api"] == SHOW) & (app != "") & (api != ""), "doc")
+        other = c["app"] != DOCS_APP
+        return F.struct(kind.alias("kind"), F.when(other, c["app"]).otherwise(app).alias("app"), F.when(other, c["api"]).otherwise(api).alias("api"))
+
+    return F.filter(F.transform(found, event), lambda e: e["kind"].isNotNull())
+
+
+def text_values(value: Column, kind: T.DataType) -> Column:
+    """All strings in a column of any type, depth first, as an array; keys of maps and nulls don't count."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StringType):
+        found = F.array(value)
+    elif isinstance(kind, T.StructType):
+        parts = [text_values(value[f.name], f.dataType) for f in kind.fields if _holds_text(f.dataType)]
+        found = F.concat(*parts) if parts else none
+    elif isinstance(kind, T.ArrayType) and _holds_text(kind.elementType):
+        found = F.flatten(F.transform(value, lambda x: text_values(x, kind.elementType)))
+    elif isinstance(kind, T.MapType) and _holds_text(kind.valueType):
+        found = F.flatten(F.transform(F.map_values(value), lambda x: text_values(x, kind.valueType)))
+    else:
+        found = none
+    return F.coalesce(F.filter(found, lambda x: x.isNotNull()), none)
+
+
+def _holds_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_text(f.dataType) for f in kind.fields)
+    inner = {T.ArrayType: "elementType", T.MapType: "valueType"}.get(type(kind))
+    return _holds_text(getattr(kind, inner)) if inner else isinstance(kind, T.StringType)
+
+
 def api_calls(text: Column) -> Column:
     """(app, api) of every call outside the documentation name space."""
     apps, names = (F.regexp_extract_all(text, F.lit(CALL), F.lit(k)) for k in (1, 2))
@@ -66,7 +127,7 @@ def documented_before(events: DataFrame, episode: str = "episode", pos: str = "p
     by_app = F.min(F.when(F.col(kind) == "description", F.col(pos))).over(Window.partitionBy(episode, app))
     by_api = F.min(F.when(F.col(kind) == "doc", F.col(pos))).over(Window.partitionBy(episode, app, api))
     calls = events.withColumns({"_app": by_app, "_api": by_api}).filter(F.col(kind) == "call")
-    known = (F.coalesce("_app", F.lit(float("inf"))) < F.col(pos)) | (F.coalesce("_api", F.lit(float("inf"))) < F.col(pos))
+    known = F.coalesce(F.col("_app") < F.col(pos), F.lit(False)) | F.coalesce(F.col("_api") < F.col(pos), F.lit(False))
     return calls.groupBy(episode).agg(F.count("*").alias("n_calls"), F.count_if(known).alias("n_documented"))
 
 

@@ -11,6 +11,7 @@ from tallyloom.functions import scalars, tokenizers
 from tallyloom.operators import advantages as adv
 from tallyloom.operators import checkpoints as cp
 from tallyloom.operators import metrics, sampling, tokens, transcripts, windows
+from tallyloom.plans.base import QUERIES, SQL, query, rounded
 from tallyloom.sources import files
 from tallyloom.sources.tables import CHECKPOINTS_SQL, ROLLOUTS_SQL, TOKENS_SQL, checkpoints, rollouts, table
 from tallyloom.sources.tables import tokens as token_table
@@ -20,32 +21,15 @@ from tallyloom.streaming import batches
 FLAGSHIP = "advantage_loo"
 #: The tokenizer of the queries that count tokens.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+_r = rounded
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _r(*names: str):
-    return [(F.round(n, 6) + 0.0).alias(n) for n in names]  # no negative zeros
+    return dict(SQL)
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -536,3 +520,7 @@ def message_tokens(spark, sf_dir):
 def output_cut_to_tokens(spark, sf_dir):
     cut = tokenizers.cut_to_tokens(spark, TOKENIZER, F.col("text"), 50)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", cut.alias("text"))
+
+
+# the other modules add their queries when they are imported
+from tallyloom.plans import episodes, runs, values  # noqa: E402, F401
