@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.order import parted, placed_in_groups, positioned
+
 BASELINES = ("leave_one_out", "leave_none_out")
 
 
@@ -33,26 +35,31 @@ def keep_count(df: DataFrame, threshold: float, world: int, positive_only: bool
     return counted.withColumn("keep", (F.least(wanted, F.floor(F.col("total") / world)) * world).cast("long"))
 
 
+def ranked(df: DataFrame, key: str, threshold: float = 0.01, world: int = 1, positive_only: bool = False) -> DataFrame:
+    """Adds pos, the place by size (ties by key), and the columns of ``keep_count``; rows are sorted by range and written."""
+    size = F.round(F.col("advantage") if positive_only else F.abs("advantage"), 9)
+    placed = positioned(df.withColumn("_size", size), [F.col("_size").desc(), F.col(key)]).drop("total")
+    return placed.crossJoin(F.broadcast(keep_count(placed, threshold, world, positive_only)))
+
+
 def top_advantages(df: DataFrame, key: str, threshold: float = 0.01, world: int = 1, positive_only: bool = False) -> DataFrame:
-    """The ``keep`` rows of largest size, ties by key.  The cut is a sort with a limit, not a window."""
-    keep = keep_count(df, threshold, world, positive_only).first()["keep"]
-    size = F.col("advantage") if positive_only else F.abs("advantage")
-    return df.orderBy(F.round(size, 9).desc(), F.col(key)).limit(keep)
+    """The ``keep`` rows of largest size, ties by key; they stay spread over the partitions."""
+    return ranked(df, key, threshold, world, positive_only).filter("pos < keep").select(*df.columns)
 
 
 def filter_stats(df: DataFrame, key: str, threshold: float = 0.01, world: int = 1) -> DataFrame:
     """Share of rows dropped and the largest size among them (0 if none is)."""
-    counts = keep_count(df, threshold, world)
-    kept = top_advantages(df, key, threshold, world).select(key)
-    dropped = df.join(kept, key, "left_anti").agg(F.coalesce(F.max(F.round(F.abs("advantage"), 9)), F.lit(0.0)).alias("empirical_threshold"))
-    return counts.crossJoin(dropped).select("total", "keep", (1 - F.col("keep") / F.col("total")).alias("filtered"), "empirical_threshold")
+    found = ranked(df, key, threshold, world).agg(F.max("total").alias("total"), F.max("keep").alias("keep"), F.coalesce(F.max(F.when(F.col("pos") >= F.col("keep"), F.col("_size"))), F.lit(0.0)).alias("empirical_threshold"))
+    return found.select("total", "keep", (1 - F.col("keep") / F.col("total")).alias("filtered"), "empirical_threshold")
 
 
 def split_evenly(df: DataFrame, order: list[str], workers: int) -> DataFrame:
     """Adds worker: contiguous parts of equal size, the first ones one longer if need be."""
-    return df.withColumn("worker", F.ntile(workers).over(Window.orderBy(*order)) - 1)
+    placed = positioned(df, [F.col(c) for c in order])
+    return placed.select(*df.columns, parted(F.col("pos"), F.col("total"), workers).alias("worker"))
 
 
 def minibatches(df: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
     """Adds batch within each ``by``; the last may be short."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("long"))
+    placed = placed_in_groups(df, [by], [F.col(c) for c in order])
+    return placed.select(*df.columns, F.floor(F.col("pos") / size).cast("long").alias("batch"))

@@ -61,3 +61,41 @@ def health(rss_gb: Column, host_percent: Column, steps: tuple[float, float, floa
     names = ("recycle_after_task", "draining", "soft_dead", "hard_dead")
     ladder = reduce(lambda c, x: c.when(rss_gb >= x[0], x[1]), list(zip(steps, names))[::-1], F.when(host_percent >= host, "hard_dead"))
     return ladder.otherwise("healthy")
+
+
+#: Metrics of a checkpoint's rank, most important first; the last two are better the lower they are.
+BEST = ("TGC", "SGC", "average_partial_pass_rate"), ("invalid_api_hits", "execution_failed_count")
+
+
+def best_of_split(rows: DataFrame, split: str = "split", iteration_col: str = "checkpoint_iteration", name: str = "experiment_name") -> DataFrame:
+    """The best row with an iteration of each split: a metric that is null or 0 ranks last, ties go by iteration as text, then name."""
+    known = lambda c: F.nullif(F.col(c).try_cast("double"), F.lit(0.0))
+    high = [F.coalesce(known(c), F.lit(-1.0)).desc() for c in BEST[0]]
+    low = [(-F.coalesce(known(c), F.lit(1e18))).desc() for c in BEST[1]]
+    w = Window.partitionBy(split).orderBy(*high, *low, F.col(iteration_col).cast("string"), F.col(name))
+    ranked = rows.filter(F.col(iteration_col).try_cast("double").isNotNull()).withColumn("_r", F.row_number().over(w))
+    return ranked.filter("_r = 1").drop("_r")
+
+
+def in_table_order(rows: DataFrame, split: str = "split", iteration_col: str = "checkpoint_iteration", name: str = "experiment_name") -> DataFrame:
+    """Rows as the result table lists them: split, iteration as text ('10' before '2', none as 'None'), name."""
+    return rows.orderBy(F.col(split), F.coalesce(F.col(iteration_col).cast("string"), F.lit("None")), F.col(name))
+
+
+def log_tail(log: Column, most: int = 20_000) -> Column:
+    return F.right(log, F.lit(most))
+
+
+def allowed_split(name: str, allow_test: bool = False) -> str:
+    """The split's name; an error for a test split unless it is allowed."""
+    if name.startswith("test_") and not allow_test:
+        raise ValueError(f"{name} is a test split")
+    return name
+
+
+def sampling_options(**options) -> dict:
+    """The options; an error for those under which the served model's probabilities are not the trained one's."""
+    bad = [k for k in ("min_p", "top_p", "top_k", "frequency_penalty") if options.get(k) is not None]
+    if bad:
+        raise ValueError(f"unsupported: {', '.join(bad)}")
+    return options

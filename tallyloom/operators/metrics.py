@@ -83,3 +83,12 @@ def peak_memory(df: DataFrame, key: str, peak: str, items: str) -> DataFrame:
     """Mean peak in MB by key, and a MB an item, null if any measurement had no items."""
     mb = F.col(peak) / 1024**2
     return df.groupBy(key).agg(F.avg(mb).alias("mb_peak"), F.when(F.min(F.col(items) != 0), F.avg(F.try_divide(mb, items))).alias("mb_per_item"))
+
+
+def of_difficulty(df: DataFrame, difficulty: int) -> DataFrame:
+    return df.filter(F.col("difficulty") == difficulty)
+
+
+def averages(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """Mean of each column a rollout, and how many rollouts were cancelled."""
+    return df.groupBy(*by).agg(*((F.sum(c) / F.count("*")).alias(n) for n, c in columns.items()), F.count_if("cancelled").alias("n_cancelled"))

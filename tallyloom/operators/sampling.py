@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.order import placed_in_groups, positioned
+
 
 def uniform(seed: int, *columns: str) -> Column:
     """A number in [0, 1) that follows from the columns and the seed."""
@@ -14,7 +16,19 @@ def uniform(seed: int, *columns: str) -> Column:
 def epochs(spark: SparkSession, ids: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Every id once in each epoch, with its place in that epoch's shuffle."""
     each = ids.select(key).distinct().withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return each.withColumn("place", F.row_number().over(Window.partitionBy("epoch").orderBy(uniform(seed, key, "epoch"), key)))
+    placed = placed_in_groups(each, ["epoch"], [uniform(seed, key, "epoch"), F.col(key)])
+    return placed.select(*each.columns, (F.col("pos") + 1).cast("int").alias("place"))
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds place, from 0, in a permutation of the rows that follows from key and seed."""
+    return positioned(df, [uniform(seed, key), F.col(key)]).drop("total").withColumnRenamed("pos", "place")
+
+
+def small_split(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """``size`` different keys (all if there are fewer) in a shuffled order, with their place and whether fewer were there."""
+    placed = positioned(df.select(key).distinct(), [uniform(seed, key), F.col(key)])
+    return placed.filter(F.col("pos") < size).select(key, F.col("pos").alias("place"), (F.col("total") < size).alias("short"))
 
 
 def mixture(df: DataFrame, key: str, shares: dict[str, float], seed: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.order import placed_in_groups, positioned
+
 
 def throughput(df: DataFrame, key: str, ts: str, value: str, seconds: int) -> DataFrame:
     """Increase of a running value a second over the last ``seconds``, two samples at least; null for the first."""
@@ -49,32 +51,112 @@ def expired(df: DataFrame, key: str, order: list[str], keep: int) -> DataFrame:
 def outlier_gate(df: DataFrame, key: str, order: str, value: str, most: float, sigmas: float = 5.0) -> DataFrame:
     """Adds accepted: not over ``most`` nor over mean + ``sigmas`` deviations of the accepted values before.
 
-    The first two are only held against ``most``; what was rejected does not count later, so this is a
-    loop over each key's rows in order.
+    The first three are only held against ``most``; what was rejected does not count later, so this is a
+    loop over each key's rows in order, batch by batch: a key of any length needs the memory of four numbers.
+    A null value is rejected.
     """
+    names = df.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    by_key = df.repartition(F.col(key)).sortWithinPartitions(key, order)
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        n, mean, square, flags = 0, 0.0, 0.0, []
-        for v in pdf[value]:
-            ok = bool(v <= most and (n < 3 or v <= mean + sigmas * (square / n) ** 0.5))
-            if ok and v > 0:
-                n += 1
-                d = v - mean
-                mean += d / n
-                square += d * (v - mean)
-            flags.append(ok)
-        return pdf.assign(accepted=flags)
+    def run(batches):
+        import pyarrow as pa
+
+        last, n, mean, square = (), 0, 0.0, 0.0
+        for batch in batches:
+            flags = []
+            for k, v in zip(batch.column(names.index(key)).to_pylist(), batch.column(names.index(value)).to_pylist()):
+                if (k,) != last:
+                    last, n, mean, square = (k,), 0, 0.0, 0.0
+                ok = v is not None and v <= most and (n < 3 or v <= mean + sigmas * (square / n) ** 0.5)
+                if ok and v > 0:
+                    n += 1
+                    d = v - mean
+                    mean += d / n
+                    square += d * (v - mean)
+                flags.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*names, "accepted"])
 
-    return df.groupBy(key).applyInPandas(run, f"{schema}, accepted boolean")
+    return by_key.mapInArrow(run, f"{schema}, accepted boolean")
 
 
 def ordinals(df: DataFrame, group: str, order: str) -> DataFrame:
     """Adds group_no (groups in order) and row_no (rows within them), both from 0."""
-    groups = df.select(group).distinct()
-    numbered = groups.withColumn("group_no", F.row_number().over(Window.orderBy(group)) - 1)
-    return df.join(numbered, group).withColumn("row_no", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    groups = positioned(df.select(group).distinct(), [F.col(group)])
+    rows = placed_in_groups(df, [group], [F.col(order)])
+    numbered = rows.join(groups.select(group, F.col("pos").cast("int").alias("group_no")), group)
+    return numbered.select(*df.columns, "group_no", F.col("pos").cast("int").alias("row_no"))
+
+
+def range_text(df: DataFrame, key: str, number: str) -> DataFrame:
+    """The numbers of each key as text: ``[0-2,4]``, or the number itself if there is one only."""
+    runs = ranges(df, key, number)
+    one = F.col("first").cast("string")
+    text = F.when(F.col("first") == F.col("last"), one).otherwise(F.concat_ws("-", one, F.col("last").cast("string")))
+    grouped = runs.withColumn("_t", text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "_t"))).alias("_r"), F.sum("n").alias("_n"))
+    joined = F.array_join(F.transform("_r", lambda r: r["_t"]), ",")
+    return grouped.select(key, F.when(F.col("_n") == 1, joined).otherwise(F.concat(F.lit("["), joined, F.lit("]"))).alias("text"))
+
+
+def grouped_names(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Names of each key with those that differ in one numeric part written as one: ``layers.[0-2,4].proj``.
+
+    Names are taken in the order of their reverse; one joins the group of those before it if it differs
+    from the group's first in one part, and the numeric parts stand at the same places.  Where the part that
+    differs is no number the group goes by its first name.  Greedy and dependent on order, so a key's different
+    names go through one Python call; they are the parameters of one model.
+    """
+
+    def parsed(n: str) -> tuple[list[str], list[int]]:
+        parts = n.split(".")
+        return parts, [k for k, p in enumerate(parts) if p.isdigit()]
+
+    def compact(numbers: set[int]) -> str:
+        runs: list[list[int]] = []
+        for x in sorted(numbers):
+            if runs and x == runs[-1][1] + 1:
+                runs[-1][1] = x
+            else:
+                runs.append([x, x])
+        return "[" + ",".join(str(a) if a == b else f"{a}-{b}" for a, b in runs) + "]"
+
+    def written(group: list[tuple[list[str], list[int]]]) -> str:
+        first, places = group[0]
+        for k in places:
+            if len(numbers := {int(parts[k]) for parts, _ in group}) > 1:
+                return ".".join([*first[:k], compact(numbers), *first[k + 1 :]])
+        return ".".join(first)
+
+    def run(pdf):
+        import pandas as pd
+
+        groups: list[list[tuple[list[str], list[int]]]] = []
+        for n in map(parsed, sorted(pdf[name], key=lambda v: v[::-1])):
+            head = groups[-1][0] if groups else None
+            if head and len(head[0]) == len(n[0]) and head[1] == n[1] and sum(a != b for a, b in zip(head[0], n[0])) == 1:
+                groups[-1].append(n)
+            else:
+                groups.append([n])
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(groups), "names": [written(g) for g in groups]})
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, names string"
+    return df.select(key, name).distinct().groupBy(key).applyInPandas(run, schema)
+
+
+def span_summary(spans: DataFrame, name: str = "name", seconds: str = "seconds", count: str = "count", span: str = "span", parent: str = "parent", order: str = "span", last: int = 100, burn_in: int = 3) -> DataFrame:
+    """Means of inclusive and exclusive time over the last spans of each name, throughput and total time.
+
+    Of each name the first ``burn_in`` - 1 spans do not count in the means, and the ``last`` ones do; throughput is their
+    elements over their time.  total_time counts every span.
+    """
+    timed = exclusive_time(spans, span, parent, seconds)
+    at = Window.partitionBy(name)
+    ranked = timed.withColumns({"_n": F.row_number().over(at.orderBy(order)), "_r": F.row_number().over(at.orderBy(F.col(order).desc()))})
+    used = (F.col("_n") >= burn_in) & (F.col("_r") <= last)
+    own = lambda c: F.when(used, F.col(c))
+    return ranked.groupBy(name).agg(
+        F.avg(own(seconds)).alias("inclusive"), F.avg(own("exclusive")).alias("exclusive"), F.try_divide(F.sum(own(count)), F.sum(own(seconds))).alias("throughput"), F.sum(seconds).alias("total_time"),
+    ).filter(F.col("inclusive").isNotNull())
 
 
 def running_statistics(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

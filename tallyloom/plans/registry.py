@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,12 @@ from tallyloom.plans.base import QUERIES, SQL, query, rounded
 from tallyloom.sources import files
 from tallyloom.sources.tables import CHECKPOINTS_SQL, ROLLOUTS_SQL, TOKENS_SQL, checkpoints, rollouts, table
 from tallyloom.sources.tables import tokens as token_table
-from tallyloom.storage import shared_dir
+from tallyloom.storage import scratch
 from tallyloom.streaming import batches
 
 FLAGSHIP = "advantage_loo"
-#: The tokenizer of the queries that count tokens.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The vocabulary file of the queries that count tokens: the setting TALLYLOOM_TOKENIZER, or that of the tests' machine.
+TOKENIZER = os.environ.get("TALLYLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 _r = rounded
 
 
@@ -328,9 +329,14 @@ def retention(spark, sf_dir):
     return windows.expired(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey")
 
 
-@query(None)
+@query("""WITH RECURSIVE o AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+g AS (SELECT event_type, event_id, value, k, value <= 60 AS accepted, CASE WHEN value <= 60 AND value > 0 THEN 1 ELSE 0 END AS n, CASE WHEN value <= 60 AND value > 0 THEN value ELSE 0.0::DOUBLE END AS mean, 0.0::DOUBLE AS square FROM o WHERE k = 1
+  UNION ALL SELECT event_type, event_id, value, k, accepted, CASE WHEN accepted AND value > 0 THEN n + 1 ELSE n END, CASE WHEN accepted AND value > 0 THEN mean + (value - mean) / (n + 1) ELSE mean END,
+    CASE WHEN accepted AND value > 0 THEN square + (value - mean) * (value - (mean + (value - mean) / (n + 1))) ELSE square END
+  FROM (SELECT o.event_type, o.event_id, o.value, o.k, g.n, g.mean, g.square, o.value <= 60 AND (g.n < 3 OR o.value <= g.mean + 1.5 * sqrt(g.square / nullif(g.n, 0))) AS accepted FROM g JOIN o ON o.event_type = g.event_type AND o.k = g.k + 1))
+SELECT event_type, event_id, value, accepted FROM g""")
 def outlier_gate(spark, sf_dir):
-    return windows.outlier_gate(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 400.0)
+    return windows.outlier_gate(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 60.0, 1.5)
 
 
 # --- sets and sampling --------------------------------------------------------------------------
@@ -377,22 +383,16 @@ def bernoulli_sample(spark, sf_dir):
 # --- sources and sinks --------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT DISTINCT source AS task_id FROM documents WHERE source NOT IN ('src1')")
 def split_roundtrip(spark, sf_dir):
-    folder, ids = _scratch(spark, "splits"), table(spark, sf_dir, "documents").select(F.col("source").alias("task_id")).distinct()
+    folder, ids = scratch(spark, "splits"), table(spark, sf_dir, "documents").select(F.col("source").alias("task_id")).distinct()
     files.write_split(ids, f"{folder}/all.txt")
     return files.read_split(spark, folder, "all", spark.createDataFrame([("src1",)], "task_id string"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(turn AS INTEGER) AS msg_idx, role, text AS content, false AS cancelled FROM conversations")
 def episode_json_roundtrip(spark, sf_dir):
-    path = _scratch(spark, "episodes")
+    path = scratch(spark, "episodes")
     history = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
     episodes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(history.alias("chat_history"))
     files.write_episodes(episodes.select(F.struct(F.col("conv_id").cast("string").alias("task_id")).alias("task"), "chat_history", F.lit(-1).alias("n_execution_failed")), path)
@@ -409,7 +409,7 @@ def pipe_table(spark, sf_dir):
 
 @query(f"WITH {CHECKPOINTS_SQL} SELECT split, experiment, execution_failed_count AS n FROM v_checkpoints")
 def history_json(spark, sf_dir):
-    path, rows = _scratch(spark, "history"), checkpoints(spark, sf_dir).select("split", "experiment", F.col("execution_failed_count").alias("n"))
+    path, rows = scratch(spark, "history"), checkpoints(spark, sf_dir).select("split", "experiment", F.col("execution_failed_count").alias("n"))
     for part in ("experiment < '3'", "experiment >= '3'"):
         files.append_history(rows.filter(part), path)
     return spark.read.schema(rows.schema).json(path)
@@ -425,7 +425,7 @@ def tumbling_rates(spark, sf_dir):
 
 @query("SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE value > 10")
 def stream_batches(spark, sf_dir):
-    path, schema = _scratch(spark, "stream"), table(spark, sf_dir, "events").schema
+    path, schema = scratch(spark, "stream"), table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*")  # a pattern, as the table may be a file or a folder
     batches.commit_batches(stream.filter("value > 10").select("event_id", "user_id", "value"), path, f"{path}-state").awaitTermination()
     return spark.read.parquet(path).select("event_id", "user_id", F.round("value", 6).alias("value"))
@@ -438,20 +438,20 @@ def early_stop_point(spark, sf_dir):
     return batches.early_stop(results, 4, 6, "event_id", 0.75, 0.75)
 
 
-@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, value > 50 AS failed, count(*) FILTER (WHERE value > 50) OVER (PARTITION BY user_id ORDER BY event_id) AS f, count(*) FILTER (WHERE NOT value > 50) OVER (PARTITION BY user_id) AS ok FROM events) WHERE failed AND f <= 2 AND ok = 0")
+@query("SELECT event_id, user_id FROM (SELECT event_id, event_id // 3 AS user_id, value > 8 AS failed, count(*) FILTER (WHERE value > 8) OVER (PARTITION BY event_id // 3 ORDER BY event_id) AS f, count(*) FILTER (WHERE NOT value > 8) OVER (PARTITION BY event_id // 3) AS ok FROM events) WHERE failed AND f <= 2 AND ok = 0")
 def retry_budget(spark, sf_dir):
-    attempts = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("value") > 50).alias("failed"))
+    attempts = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 3).alias("user_id"), (F.col("value") > 8).alias("failed"))
     return batches.within_budget(attempts, "user_id", "event_id", 2).select("event_id", "user_id")
 
 
 # --- scalar functions, ordinals and running statistics ------------------------------------------
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(left(text, 200), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
 NOT regexp_matches(text, '[^\x00-\x7F]') AS is_ascii, 'iteration-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS key FROM documents""")
 def names_and_keys(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", scalars.slug(F.left("text", F.lit(200))).alias("slug"), scalars.is_ascii(F.col("text")).alias("is_ascii"), scalars.padded_key("iteration", F.col("doc_id")).alias("key"))
+    return docs.select("doc_id", scalars.slug(F.col("text")).alias("slug"), scalars.is_ascii(F.col("text")).alias("is_ascii"), scalars.padded_key("iteration", F.col("doc_id")).alias("key"))
 
 
 @query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped, regexp_extract(url, '^([a-z]+):/', 1) AS scheme FROM pages""")

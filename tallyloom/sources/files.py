@@ -120,3 +120,132 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(unpack, "path string, member string, text string").select(F.regexp_extract("path", r"r(\d+)\.zip$", 1).try_cast("int").alias("rank"), "member", "text")
+
+
+def write_archives(members: DataFrame, path: str) -> None:
+    """Zip archives r<rank>.zip of the members (rank, member, text) of each rank, put up by the task that packs it.
+
+    An archive is packed in memory, as it is one file; Parquet is the better form for what is large.
+    """
+    spark = members.sparkSession
+
+    def pack(pdf):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in zip(pdf["member"], pdf["text"]):
+                z.writestr(name, text)
+        return pd.DataFrame({"name": [f"r{pdf['rank'].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    for row in members.groupBy("rank").applyInPandas(pack, "name string, content binary").toLocalIterator():
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{row.name}"), True)
+        out.write(row.content)
+        out.close()
+
+
+def rollout_members(members: DataFrame) -> DataFrame:
+    """Archive members with what they are (rollout or scenario) and their scenario and rollout indices; others go."""
+    kind = F.regexp_extract("member", r"(rollout|scenario)\.r\d+\.", 1)
+    index = lambda k: F.regexp_extract("member", rf"(?:rollout|scenario)\.r\d+\.(\d+)(?:\.(\d+))?\.(?:yaml|json)$", k).try_cast("int")
+    found = members.withColumns({"kind": kind, "scenario": index(1), "rollout": index(2)})
+    return found.filter((F.col("kind") != "") & F.col("scenario").isNotNull())
+
+
+def rollout_shape(members: DataFrame) -> DataFrame:
+    """One row: the numbers of ranks, of scenarios and of rollouts of each."""
+    return members.agg(*((F.max(c) + 1).alias(n) for c, n in (("rank", "num_ranks"), ("scenario", "num_scenarios"), ("rollout", "num_rollouts"))))
+
+
+def linear_index(rank: Column, scenario: Column, rollout: Column, num_scenarios: Column, num_rollouts: Column) -> Column:
+    """Place of (rank, scenario, rollout) when all are counted, rollouts fastest."""
+    return (rank * num_scenarios + scenario) * num_rollouts + rollout
+
+
+def from_linear(index: Column, num_scenarios: Column, num_rollouts: Column) -> Column:
+    """(rank, scenario, rollout) at a place."""
+    whole = lambda a, b: F.floor(a / b).cast("int")
+    return F.struct(whole(index, num_scenarios * num_rollouts).alias("rank"), (whole(index, num_rollouts) % num_scenarios).alias("scenario"), (index % num_rollouts).cast("int").alias("rollout"))
+
+
+def split_counts(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """split and n: the ids of each split, null for one whose file is not there."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"([^/]+)\.txt(?:/[^/]*)?$", 1).alias("name"))
+    ids = spark.read.option("recursiveFileLookup", True).text(folder).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.txt(?:/[^/]*)?$", 1).alias("name"), F.trim("value").alias("v"))
+    counts = there.distinct().join(ids.filter("v <> ''").groupBy("name").agg(F.count("*").alias("_n")), "name", "left")
+    wanted = spark.createDataFrame([(n,) for n in names], "split string")
+    return wanted.join(counts.select(F.col("name").alias("split"), F.coalesce("_n", F.lit(0)).alias("n")), "split", "left")
+
+
+def last_checkpoint(complete: DataFrame) -> DataFrame:
+    """The complete checkpoint of the largest number."""
+    return complete.orderBy(F.col("iteration").desc()).limit(1)
+
+
+def append_line(line: DataFrame, path: str) -> None:
+    """Append lines (one text column) to a folder of text files."""
+    line.write.mode("append").text(path)
+
+
+def gpu_status(lines: DataFrame, column: str = "value") -> DataFrame:
+    """index, memory_used_mib and utilization_gpu of each line of a probe; lines of other than three cells go."""
+    cells = F.transform(F.split(column, ","), lambda c: F.trim(c))
+    return lines.select(cells.alias("c")).filter("size(c) = 3").select(*(F.col("c")[k].cast("int").alias(n) for k, n in enumerate(("index", "memory_used_mib", "utilization_gpu"))))
+
+
+def idle_devices(targets: DataFrame, status: DataFrame, most_memory: int, most_utilization: int) -> DataFrame:
+    """Target devices with idle and why not: missing, or what is in use; targets has the column index."""
+    joined = targets.join(status, "index", "left")
+    missing = F.col("memory_used_mib").isNull()
+    busy = (F.col("memory_used_mib") > most_memory) | (F.col("utilization_gpu") > most_utilization)
+    used = F.format_string("gpu%d=mem%dMiB/util%d%%", "index", "memory_used_mib", "utilization_gpu")
+    return joined.select("index", (~missing & ~busy).alias("idle"), F.when(missing, F.format_string("gpu%d=missing", "index")).when(busy, used).alias("busy"))
+
+
+#: Counters that a trainer's state must have.
+STATE = ("iterations_completed", "output_tokens_generated", "rollouts_generated", "global_step")
+
+
+def write_state(state: DataFrame, path: str) -> None:
+    """One row of counters."""
+    state.select(*STATE).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The counters; an error names those that are missing."""
+    row = spark.read.schema(", ".join(f"{c} long" for c in STATE)).json(path)
+    lost = F.concat_ws(", ", *(F.when(F.col(c).isNull(), F.lit(c)) for c in STATE))
+    bad = F.raise_error(F.concat(F.lit("missing in the trainer's state: "), lost)).cast("long")
+    return row.select(F.when(lost != "", bad).otherwise(F.col(STATE[0])).alias(STATE[0]), *STATE[1:])
+
+
+def collisions(new: DataFrame, installed: DataFrame, key: str = "task_id") -> DataFrame:
+    """Ids that are installed already; a data set may be installed if there are none."""
+    return new.select(key).distinct().join(installed, key, "left_semi")
+
+
+def publish(spark: SparkSession, tasks: DataFrame, source: str, target: str, key: str = "task_id") -> int:
+    """Copy the folders of tasks from one place to another, each once; an error if any is there already."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    ids = [r[0] for r in tasks.select(key).distinct().collect()]
+    to = path(target).getFileSystem(conf)
+    there = [i for i in ids if to.exists(path(f"{target}/{i}"))]
+    if there:
+        raise ValueError(f"already installed: {', '.join(sorted(there))}")
+    from_ = path(source).getFileSystem(conf)
+    for i in ids:
+        jvm.org.apache.hadoop.fs.FileUtil.copy(from_, path(f"{source}/{i}"), to, path(f"{target}/{i}"), False, conf)
+    return len(ids)
+
+
+def remove(spark: SparkSession, tasks: DataFrame, target: str, key: str = "task_id") -> int:
+    """Delete the folders of installed tasks; how many were there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(bool(fs.delete(path(f"{target}/{r[0]}"), True)) for r in tasks.select(key).distinct().collect())
