@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.text import bounded_batches, grouped, mixed, utf8, words
+from tallyloom.llm.text import bounded_batches, grouped, mixed, pieces, utf8
 
 #: Documents of a language that the model is fitted on, about; chosen by a hash of the id.
 TRAIN_DOCUMENTS = 20_000
@@ -24,7 +24,8 @@ GRAMS = (1, 2, 3, 4, 5)
 SWITCH = 10.0
 #: A language uses a script if so large a share of its training words is in it.
 SCRIPT_SHARE = 0.01
-TABLE_BYTES = 6_000_000
+#: Text bytes labelled at once, with up to 8 languages; fewer with more.
+TABLE_BYTES = 2_000_000
 #: Different words, times languages, that are scored at once.
 CHUNK = 1 << 15
 
@@ -106,7 +107,8 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_documents: int = TRAIN_DOCUMENTS) -> Model:
     """Fit a model on about ``train_documents`` documents of each language, chosen by a hash of the id.
 
-    Rows with a null text or language teach nothing.  Without any rows the model knows no language.
+    Rows with a null text or language teach nothing.  Without any rows the model knows no language; more
+    than ``MOST_LANGUAGES`` are an error, as the model of all languages goes to every executor.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -136,7 +138,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in grouped(batches, "text", TABLE_BYTES):
         found: dict[str, Counter] = {}
         for lang, texts in zip(table.column("lang").to_pylist(), (x for c in table.column("text").chunks for x in utf8(c))):
-            found.setdefault(lang, Counter()).update(words(texts))
+            for piece in pieces(texts):
+                found.setdefault(lang, Counter()).update(piece.split())
         for lang, counter in found.items():
             grams, scripts = sums.setdefault(lang, (np.zeros(BUCKETS), np.zeros(len(_NAMES))))
             own = [(w, n, s) for w, n in counter.items() if (s := _script(w)) >= 0]
@@ -174,23 +177,28 @@ def _label(shared, switch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array(["und", *model.languages], dtype=object)
-        for table in grouped(batches, "text", TABLE_BYTES):
-            split = [words(x) for c in table.column("text").chunks for x in utf8(c)]
-            counts = np.array([len(w) for w in split], dtype=np.int64)
+        limit = TABLE_BYTES * 8 // max(8, len(model.languages))
+        for table in grouped(batches, "text", limit):
+            number: dict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            each, counts = [], []
+            for text in (x for c in table.column("text").chunks for x in utf8(c)):
+                own = [np.fromiter(map(number.__getitem__, w), dtype=np.int32, count=len(w)) for w in map(bytes.split, pieces(text))]
+                each += own
+                counts.append(sum(map(len, own)))
+            ids = np.concatenate([np.zeros(0, dtype=np.int32), *each])
+            counts = np.array(counts, dtype=np.int64)
             ends = np.cumsum(counts)
-            pred, score = np.full(len(split), -1), np.zeros(len(split))
-            flat = [w for own in split for w in own]
+            pred, score = np.full(len(counts), -1), np.zeros(len(counts))
             starts = stops = path_at = np.zeros(0, dtype=np.int64)
-            if flat and model.languages:
-                distinct = list(set(flat))
-                number = dict(zip(distinct, range(len(distinct))))
-                ids = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+            if len(ids) and model.languages:
+                distinct = list(number)
                 scripts = np.fromiter(map(_script, distinct), dtype=np.int64, count=len(distinct))
                 path = viterbi(model.scores(distinct, scripts), ids, counts, switch)
                 lettered = (scripts >= 0)[ids]
-                doc = np.repeat(np.arange(len(split)), counts)
+                doc = np.repeat(np.arange(len(counts)), counts)
                 k = len(model.languages)
-                votes = np.bincount(doc[lettered] * k + path[lettered], minlength=len(split) * k).reshape(-1, k)
+                votes = np.bincount(doc[lettered] * k + path[lettered], minlength=len(counts) * k).reshape(-1, k)
                 sums = votes.sum(axis=1)
                 some = sums > 0
                 pred[some] = votes[some].argmax(axis=1)
@@ -198,10 +206,10 @@ def _label(shared, switch: float):
                 change = np.concatenate([[True], (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])]) & some[doc]
                 starts = np.flatnonzero(change)
                 path_at = path[starts]
-                stops = np.minimum(np.append(starts[1:], len(flat)), ends[doc[starts]])
+                stops = np.minimum(np.append(starts[1:], len(ids)), ends[doc[starts]])
             owner = np.searchsorted(ends, starts, side="right")
             base = ends[owner] - counts[owner]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(split)))])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))])
             structs = pa.StructArray.from_arrays([pa.array(starts - base), pa.array(stops - base), pa.array(names[path_at + 1], pa.string())], names=["start", "end", "lang"])
             own = {c: table.column(c) for c in table.column_names if c != "text"}
             own |= {"lang_pred": pa.array(names[pred + 1], pa.string()), "score": pa.array(score), "spans": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)}
@@ -221,7 +229,7 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, counts: np.ndarray, switch: flo
     steps = int(lengths[0]) if len(lengths) else 0
     live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
     states = scores.shape[1]
-    stayed, best_from = np.ones((len(ids), states), dtype=bool), np.zeros(len(ids), dtype=np.int32)
+    stayed, best_from = np.ones((len(ids), states), dtype=bool), np.zeros(len(ids), dtype=np.int16)
     value = np.zeros((len(lengths), states))
     for t in range(steps):
         m = live[t]
@@ -234,7 +242,7 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, counts: np.ndarray, switch: flo
             value[:m] = np.where(stay, before, top) + scores[ids[at]]
         else:
             value[:m] = scores[ids[at]]
-    path, state = np.zeros(len(ids), dtype=np.int64), value.argmax(axis=1)
+    path, state = np.zeros(len(ids), dtype=np.int16), value.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         at = starts[: live[t]] + t
         own = state[: live[t]]

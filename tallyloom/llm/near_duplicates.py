@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.components import components
-from tallyloom.llm.text import bounded_batches, grouped, mixed, utf8, words
+from tallyloom.llm.text import bounded_batches, grouped, mixed, utf8, word_hashes
 from tallyloom.storage import materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8**5)**32, three in a million.
 BANDS, ROWS = 32, 5
-#: Nodes on either side of a comparison, and shingles in one matrix product.
-BLOCK = 128
+#: Nodes and text bytes on either side of a comparison, about, and shingles in one matrix product.
+BLOCK, BLOCK_BYTES = 128, 500_000
 MATRIX_COLUMNS = 8192
-TABLE_BYTES = 4_000_000
+#: Text bytes signed at once, and elements whose processes run at once.
+TABLE_BYTES, SLICE = 1_000_000, 1 << 17
 
 
 def signatures(docs: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
@@ -48,9 +49,16 @@ def signatures(docs: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_do
         limit.append(weights[own].astype(float))
         level += 1
     out = np.full((n_docs, registers), np.inf)
-    if not doc:
-        return out
-    doc, seed, start, length, limit = (np.concatenate(x) for x in (doc, seed, start, length, limit))
+    if doc:
+        doc, seed, start, length, limit = (np.concatenate(x) for x in (doc, seed, start, length, limit))
+        for low in range(0, len(doc), SLICE):  # a register is the least over slices as it is over elements
+            _race(out, *(x[low : low + SLICE] for x in (doc, seed, start, length, limit)))
+    return out
+
+
+def _race(out: np.ndarray, doc: np.ndarray, seed: np.ndarray, start: np.ndarray, length: np.ndarray, limit: np.ndarray) -> None:
+    """Lower the registers ``out`` to the earliest points of these elements."""
+    registers = out.shape[1]
     time, flat, point = np.zeros(len(doc)), out.reshape(-1), 0
     while len(doc):
         point += 1
@@ -65,7 +73,6 @@ def signatures(docs: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_do
             live, where = np.unique(doc, return_inverse=True)
             keep = time < out[live].max(axis=1)[where]
             doc, seed, start, length, limit, time = (x[keep] for x in (doc, seed, start, length, limit, time))
-    return out
 
 
 def bands(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -78,15 +85,13 @@ def bands(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _shingles(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and 64-bit hash of every shingle; a text shorter than a shingle is one."""
-    counts = np.array([len(w) for w in split], dtype=np.int64)
-    flat = [w for own in split for w in own]
-    code = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in set(flat)}
-    ids = np.fromiter(map(code.__getitem__, flat), dtype=np.uint64, count=len(flat))
+def _shingles(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and 64-bit hash of every shingle of texts given by their words' hashes; a text shorter than a shingle is one."""
+    counts = np.array([len(w) for w in hashes], dtype=np.int64)
+    ids = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
     ends = np.cumsum(counts)
-    doc = np.repeat(np.arange(len(split)), counts)
-    first = np.arange(len(flat)) - np.repeat(ends - counts, counts)
+    doc = np.repeat(np.arange(len(hashes)), counts)
+    first = np.arange(len(ids)) - np.repeat(ends - counts, counts)
     starts = np.flatnonzero((first <= counts[doc] - SHINGLE) | (first == 0))
     shingle = np.zeros(len(starts), dtype=np.uint64)
     for k in range(SHINGLE if len(ids) else 0):
@@ -98,22 +103,26 @@ def _shingles(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in grouped(batches, "text", TABLE_BYTES):
-        texts = [x for c in table.column("text").chunks for x in utf8(c)]
-        split = [words(x) for x in texts]
-        digests = [None if t is None else hashlib.blake2b(b" ".join(w), digest_size=16).digest() for t, w in zip(texts, split)]
-        doc, shingle = _shingles(split)
+        hashes, digests = [], []
+        for text in (x for c in table.column("text").chunks for x in utf8(c)):
+            hashes.append(word_hashes(text))
+            digests.append(None if text is None else hashlib.blake2b(hashes[-1], digest_size=16).digest())
+        some = np.array([len(w) > 0 for w in hashes], dtype=bool)
+        doc, shingle = _shingles(hashes)
+        del hashes
         key, weight = np.unique((doc.astype(np.uint64) << np.uint64(40)) | (shingle >> np.uint64(24)), return_counts=True)
-        registers = signatures((key >> np.uint64(40)).astype(np.int64), mixed(key & np.uint64((1 << 40) - 1)), weight, len(split), BANDS * ROWS)
-        hashes, some = bands(registers), np.array([bool(w) for w in split], dtype=bool)
+        del doc, shingle
+        registers = signatures((key >> np.uint64(40)).astype(np.int64), mixed(key & np.uint64((1 << 40) - 1)), weight, len(some), BANDS * ROWS)
+        buckets = bands(registers)
         offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
         own = {c: table.column(c) for c in table.column_names}
-        own |= {"digest": pa.array(digests, pa.binary()), "bands": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[some].reshape(-1)))}
+        own |= {"digest": pa.array(digests, pa.binary()), "bands": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets[some].reshape(-1)))}
         yield from pa.table(own).to_batches()
 
 
 def overlaps(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of the texts' shingle multisets and of all their intersections, by products of incidence matrices."""
-    doc, shingle = _shingles([words(t) for t in texts])
+    doc, shingle = _shingles([word_hashes(t) for t in texts])
     order = np.lexsort((shingle, doc))
     doc, shingle = doc[order], shingle[order]
     sizes = np.bincount(doc, minlength=len(texts))
@@ -165,12 +174,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     Shingles are ``SHINGLE`` consecutive words (lower-cased runs of letters, digits and characters beyond
     ASCII); a shorter text is one shingle.  Equal word sequences are one node.  Nodes that share a band
     are candidates, and buckets that share nodes tie them into clusters.  Inside a cluster all nodes are
-    compared, ``BLOCK`` against ``BLOCK`` by a matrix product, and a comparison returns only links that join
+    compared, blocks of ``BLOCK`` nodes or ``BLOCK_BYTES`` against each other by a matrix product, and a comparison returns only links that join
     what it had not joined yet; so no link between candidates is lost and no pairs become rows.
 
     Returns id, ``carry`` columns, class_id (the smallest id of the class) and kept (one row of each class, of
     that id).  A null text is a class of its own; texts without words are equal.  Rows that share an
-    id are separate rows.  An empty table gives no rows.
+    id are separate rows.  Of a long text ``PIECE`` bytes are taken apart at a time, so it needs 8 bytes a
+    word and no objects.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -185,7 +195,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     members = _members(signed.join(rows.select("row").hint("merge"), "row", "left_semi").select("digest", F.explode("bands").alias("bucket")))
     clusters = _clusters(members)
     rows = rows.join(clusters, "digest", "left_semi").select("row")
-    texts = materialise(signed.select("row", "digest", "text").join(rows.hint("merge"), "row", "left_semi").select("digest", "text"), "near-texts")
+    texts = materialise(signed.select("row", "digest", "text").join(rows.hint("merge"), "row", "left_semi").select("digest", "text", F.octet_length("text").alias("size")), "near-texts")
     labels = _linked(clusters, texts, threshold).withColumnRenamed("node", "_n")
     of = nodes.join(labels, F.col("digest") == F.col("_n"), "left").select("digest", "first", F.coalesce("component", "digest").alias("component"))
     best = of.groupBy("component").agg(F.min("first").alias("best"))
@@ -204,16 +214,17 @@ def _members(buckets: DataFrame) -> DataFrame:
 
 
 def _clusters(members: DataFrame) -> DataFrame:
-    """digest, cluster and its number of blocks: nodes that buckets tie together."""
+    """digest and cluster of the nodes that buckets tie together."""
     hub = members.groupBy("bucket").agg(F.min("digest").alias("a"))
     tied = members.join(hub, "bucket").select("a", F.col("digest").alias("b"))
-    found = components(tied, "near-clusters")
-    blocks = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return materialise(found.join(blocks, "component").select(F.col("node").alias("digest"), F.col("component").alias("cluster"), "blocks"), "near-clusters")
+    return components(tied, "near-clusters").select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
 
 
 def _linked(clusters: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Components (node, component) of the verified links inside clusters, block against block."""
+    sizes = texts.select("digest", "size").join(clusters, "digest").groupBy("cluster")
+    blocks = sizes.agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("blocks"))
+    clusters = materialise(clusters.join(blocks, "cluster").select("digest", "cluster", "blocks"), "near-blocks")
     placed = texts.join(clusters, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = other.select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "digest", "block", "text")

@@ -16,6 +16,9 @@ WORD_BYTES = bytes(
 
 #: Records in one Arrow batch, so that a batch of long texts stays small.
 BATCH_RECORDS = 512
+#: Bytes of a text whose words are hashed at once.
+PIECE = 1_000_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -35,6 +38,33 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+def pieces(text: bytes | None) -> Iterator[bytes]:
+    """A text by ``WORD_BYTES``, in pieces of ``PIECE`` bytes that end at a space."""
+    low, data = 0, text.translate(WORD_BYTES) if text else b""
+    while low < len(data):
+        high = data.find(b" ", low + PIECE)
+        high = len(data) if high < 0 else high
+        yield data[low:high]
+        low = high
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of a text's lower-cased words in order; numbers only, ``PIECE`` bytes at a time."""
+    found = [_hashed(np.frombuffer(piece, dtype=np.uint8)) for piece in pieces(text)]
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+
+def _hashed(data: np.ndarray) -> np.ndarray:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], data != 32, [False]])))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()) - 1, _BASE, dtype=np.uint64)]), dtype=np.uint64)
+    return mixed(np.add.reduceat(_BYTES[data[data != 32]] * powers[place], first) + sizes.astype(np.uint64))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -46,6 +76,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A random number for each byte.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.Table]:
     """Successive batches joined to tables of about ``limit`` text bytes; a longer batch is cut by rows."""
     held: list[pa.RecordBatch] = []

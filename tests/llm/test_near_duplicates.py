@@ -80,3 +80,26 @@ def test_classes_match_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert nd.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_word_hashes_follow_words_in_pieces(monkeypatch):
+    from tallyloom.llm import text
+
+    texts = [None, "", " - ", "Ein Wort", "A b\tc" * 50, "ünï çödé 漢字 x" * 9, "y" * 300 + " z", "αβγ " * 40]
+    number = {}
+    whole = [text.word_hashes(None if t is None else t.encode()) for t in texts]
+    for t, h in zip(texts, whole):
+        own = words(None if t is None else t.encode())
+        assert len(own) == len(h) and all(number.setdefault(w, x) == x for w, x in zip(own, h.tolist()))
+    assert len(set(number.values())) == len(number)
+    monkeypatch.setattr(text, "PIECE", 7)
+    assert all((text.word_hashes(None if t is None else t.encode()) == h).all() for t, h in zip(texts, whole))
+
+
+def test_very_long_texts_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SLICE", 1000)
+    rng = random.Random(5)
+    long = [f"v{rng.randint(0, 10**6)}" for _ in range(60_000)]
+    near = [w if k % 400 else "changed" for k, w in enumerate(long)]
+    got = nd.classes(spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:40_000]))], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
