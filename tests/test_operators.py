@@ -179,3 +179,154 @@ def test_tokens_of_a_named_vocabulary(spark):
         assert kept != got[k].cut and t.startswith(kept) and size(kept) <= 20
     assert got[3].cut.startswith("word word")
     assert got[4].cut == "line" + tokenizers.NOTICE
+
+
+def test_code_and_calls(spark):
+    texts = {
+        "a ```python\nx\n``` b ```PY y``` c ```py\n z": ["x", "y", "z"],
+        "```python a ```python b```": ["a"],  # the second fence closes the first; what is left opens none
+        "``` python```": [],
+        "```py \n ": [],
+        "none": [],
+    }
+    for t, want in texts.items():
+        assert spark.range(1).select(transcripts.code_blocks(F.lit(t))).first()[0] == want, t
+    text = lambda t: spark.range(1).select(transcripts.code_text(F.lit(t))).first()[0]
+    assert text("```python\n a ``` and ```py b") == "a\nb" and text("```PYTHON a```") == "" and text("") == ""
+    code = "apis.api_docs.show_api_doc(app_name='m', api_name=\"send\")\nx = apis.m.send (1)\napis.api_docs.show_api_descriptions(app_name='k')\napis.api_docs.show_api_doc(app_name='m')\nmyapis.m.x()\napis.k.go(apis.k.get("
+    events = spark.range(1).select(transcripts.code_events(F.lit(code))).first()[0]
+    assert [tuple(e) for e in events] == [("doc", "m", "send"), ("call", "m", "send"), ("description", "k", ""), ("call", "k", "go"), ("call", "k", "get")]
+    assert [tuple(c) for c in spark.range(1).select(transcripts.api_calls(F.lit(code))).first()[0]] == [("m", "send"), ("k", "go"), ("k", "get")]
+
+
+def test_text_values_of_any_type(spark):
+    df = frame(spark, [({"a": ["x", None, "y"], "b": (1, {"k": "z"}), "c": None},)], "v struct<a:array<string>,b:struct<n:int,m:map<string,string>>,c:string>")
+    assert df.select(transcripts.text_values(F.col("v"), df.schema["v"].dataType)).first()[0] == ["x", "y", "z"]
+
+
+def test_behaviour_of_an_episode_without_turns(spark):
+    from tallyloom.operators import behaviour
+    from tallyloom.sources.files import EPISODE
+
+    rows = [{"experiment_name": "e", "eval_result": {"success": None, "num_interactions": 4}}, {"experiment_name": "e", "chat_history": [{"role": "assistant", "content": None}]}]
+    df = spark.read.schema(EPISODE).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+    df = df.select(F.col("experiment_name").alias("experiment"), F.monotonically_increasing_id().cast("string").alias("task_id"), "*")
+    row = behaviour.behaviour(df).first()
+    assert (row.num_rollouts_analyzed, row.num_turns_avg, row.average_partial_pass_rate, row.failed_api_call_give_up_rate) == (2, 2.5, 0.0, 0.0)
+    assert behaviour.summary(behaviour.episode_values(df)).first().avg_num_interactions == 4
+
+
+def test_aligned_tokens(spark):
+    rows = [(0, True, None, [1, 2], [7, 9], [-0.5, -0.25], True), (1, True, None, [1], [7, 8], [-1.0, -2.0], True), (2, True, None, [1], [], [], False), (3, False, [5, 6], None, None, None, None)]
+    df = frame(spark, rows, "n int, policy boolean, message_tokens array<int>, prompt_tokens array<int>, generated_tokens array<int>, generated_logprobs array<double>, stopped boolean")
+    got = tokens.aligned(df, [8, 9], 9, [3]).orderBy("n").collect()
+    assert [r.tokens for r in got] == [[1, 2, 7, 9, 3], [1, 7, 8, 3], [1, 9, 3], [5, 6]]
+    assert [r.is_output for r in got][0] == [False, False, True, True, False] and [sum(r.is_output) for r in got] == [2, 2, 0, 0]
+    assert all(len(r.tokens) == len(r.log_probs) for r in got) and [x for x in got[0].log_probs if x == x] == [-0.5, -0.25]
+    cut = frame(spark, [([1],)], "generated_tokens array<int>").withColumns({"policy": F.lit(True), "message_tokens": F.lit(None).cast("array<int>"), "prompt_tokens": F.lit(None).cast("array<int>"), "stopped": F.lit(True), "generated_logprobs": F.array(F.lit(-1.0))})
+    assert tokens.aligned(cut, [8, 9], 9, [3]).first().tokens == [1, 9, 3]
+
+
+def test_drift_is_an_error(spark):
+    df = frame(spark, [(1, [-1.0], [-1.1], [True]), (2, [-1.0], [-3.0], [True])], "k int, old_lp array<double>, new_lp array<double>, is_output array<boolean>")
+    assert [r.k for r in tokens.drifted(df, 0.5).collect()] == [2]
+    assert tokens.no_drift(df, "k", 5.0).count() == 2
+    with pytest.raises(Exception, match="differ by more than 0.5 in 2"):
+        tokens.no_drift(df, "k", 0.5).collect()
+
+
+def test_places_and_parts(spark):
+    from tallyloom.operators.order import parted, placed_in_groups, positioned
+
+    df = frame(spark, [(k % 3, (k * 7) % 20) for k in range(20)], "g int, v int").repartition(5)
+    assert [r.pos for r in positioned(df, [F.col("v").desc()]).orderBy(F.col("v").desc()).collect()] == list(range(20))
+    assert {(r.g, r.pos) for r in placed_in_groups(df, ["g"], [F.col("v")]).collect()} == {(k % 3, k // 3) for k in range(20)}
+    assert positioned(df.limit(0), [F.col("v")]).count() == 0
+    for n, parts in ((20, 8), (16, 8), (3, 8), (0, 2)):
+        got = [r[0] for r in spark.range(n).select(parted(F.col("id"), F.lit(n).cast("long"), parts)).collect()]
+        assert got == [k for k in range(parts) for _ in range(n // parts + (k < n % parts))]
+
+
+def test_names_with_ranges(spark):
+    names = ["m.layers.0.q", "m.layers.1.q", "m.layers.2.q", "m.layers.4.q", "m.layers.0.k", "m.norm", "head"]
+    got = windows.grouped_names(frame(spark, [("a", n) for n in names] + [("b", "x.1")], "k string, n string"), "k", "n").collect()
+    assert {(r.k, r.names) for r in got} == {("a", "m.layers.[0-2,4].q"), ("a", "m.layers.0.k"), ("a", "m.norm"), ("a", "head"), ("b", "x.1")}
+
+
+def test_gate_lets_one_of_two_win(spark, tmp_path):
+    one, two = (batches.Gate(spark, str(tmp_path / "m")) for _ in range(2))
+    one.begin(1, 10)
+    state = two._state(1)
+    one.commit(1, 10)
+    with pytest.raises(ValueError, match="there already"):
+        two._publish(1, state.attempt, "end", status="aborted", expected=10, finished=0)
+    assert two.current().first().status == "committed"
+
+
+def test_tables_belong_to_their_run(spark):
+    from tallyloom import storage
+
+    mine = storage.materialise(spark.range(3), "mine")
+    with storage.run("other"):
+        other = storage.materialise(spark.range(4), "other")
+    storage.release(spark, "other")
+    assert mine.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(other.inputFiles()[0] if other.inputFiles() else "gone").count()
+
+
+def test_files_of_runs(spark, tmp_path):
+    (tmp_path / "src" / "a").mkdir(parents=True)
+    (tmp_path / "src" / "a" / "f").write_text("x")
+    tasks = frame(spark, [("a",)], "task_id string")
+    assert files.publish(spark, tasks, str(tmp_path / "src"), str(tmp_path / "to")) == 1 and (tmp_path / "to" / "a" / "f").read_text() == "x"
+    with pytest.raises(ValueError, match="already installed: a"):
+        files.publish(spark, tasks, str(tmp_path / "src"), str(tmp_path / "to"))
+    assert files.remove(spark, tasks, str(tmp_path / "to")) == 1 and not (tmp_path / "to" / "a").exists()
+    (tmp_path / "state.json").write_text('{"iterations_completed": 1, "global_step": 2}')
+    with pytest.raises(Exception, match="output_tokens_generated, rollouts_generated"):
+        files.read_state(spark, str(tmp_path / "state.json")).collect()
+    rows = frame(spark, [(1, "x")], "a int, b string")
+    files.write_table([rows, rows.drop("b").withColumn("c", F.lit(2))], str(tmp_path / "table"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "table")).columns == ["a", "b", "c"]
+    files.write_once(rows, str(tmp_path / "once"))
+    files.write_once(rows.union(rows), str(tmp_path / "once"))
+    assert spark.read.json(str(tmp_path / "once")).count() == 1
+
+
+def test_plug_ins(spark):
+    from tallyloom.operators import plugins
+
+    known = plugins.Registry()
+
+    @known.add("twice")
+    def twice(by):
+        return lambda df: df.agg((F.sum("v") * by).alias("value")).select(F.lit("sum").alias("name"), "value")
+
+    df = frame(spark, [(1.0,), (2.0,)], "v double")
+    mean = plugins.opaque_summary("mean", lambda parts: (lambda v: sum(v) / len(v))([x for p in parts for x in p["v"]]), ["v"])
+    assert {tuple(r) for r in plugins.apply_summaries(df, {"a": known.make("twice", by=2), "b": mean}).collect()} == {("a", "sum", 6.0), ("b", "mean", 1.5)}
+    with pytest.raises(ValueError):
+        known.make("none")
+    assert [r[0] for r in frame(spark, [("abc",), (None,)], "a string").select(plugins.scored(F.col("a"), len)).collect()][0] == 3.0
+    plugins.register_functions(spark)
+    assert tuple(spark.sql("SELECT safe_min(null, 2), safe_div(1, 0), compact('a b'), slug('__a b!')").first()) == (2.0, None, "ab", "a_b")
+    calls = []
+
+    class Mine(plugins.Hooks):
+        def before_iteration(self, number):
+            calls.append(("before", number))
+
+        def after_iteration(self, number, batch):
+            calls.append(("after", number, batch.count()))
+
+    plugins.hooked(lambda batch, n: calls.append(("put", n)), [Mine()])(df, 7)
+    assert calls == [("before", 7), ("put", 7), ("after", 7, 2)]
+
+
+def test_options_and_splits():
+    assert cp.allowed_split("dev") == "dev" and cp.allowed_split("test_normal", True) == "test_normal"
+    assert cp.sampling_options(top_p=None, temperature=1.0)["temperature"] == 1.0
+    for bad in (lambda: cp.allowed_split("test_normal"), lambda: cp.sampling_options(top_k=3)):
+        with pytest.raises(ValueError):
+            bad()
