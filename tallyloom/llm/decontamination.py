@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.text import bounded_batches, grouped, utf8, words
+from tallyloom.storage import materialise
 
 #: Text bytes of a shard, for which one index is built.
 SHARD_BYTES = 8_000_000
-#: Benchmark bytes that are sent to the executors at once; a larger benchmark goes in blocks, a pass each.
-BLOCK_BYTES = 32_000_000
+#: Benchmark bytes, about, that are made to windows on the driver and sent to the executors at once; a larger
+#: benchmark goes in blocks, a pass each.
+BLOCK_BYTES = 2_000_000
 #: Every so many positions of the indexed text keep their place.
 SAMPLE = 16
 
@@ -142,6 +145,9 @@ def matches(
     bytes from the first to the last word of each span.  Null and empty texts have no words; rows with
     the same id are separate rows; items with the same id are one; a null item id is the empty string.
     An empty benchmark hits nothing.  Columns of the two tables may share names.
+
+    A benchmark beyond ``BLOCK_BYTES`` goes in blocks of items by hash.  Each is a pass over the texts, which are
+    written once, and leaves a table of the documents it hits; neither the driver nor a task holds more than a block.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -152,10 +158,22 @@ def matches(
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    for k in range(blocks):
+
+    def scanned(df: DataFrame, k: int) -> DataFrame:
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         phrases = Phrases([(r.item, r.text.encode() if r.text is not None else None) for r in part.collect()], window)
-        state = state.mapInArrow(_scan(spark.sparkContext.broadcast(phrases)), state.schema)
+        return df.mapInArrow(_scan(spark.sparkContext.broadcast(phrases)), df.schema)
+
+    if blocks == 1:
+        state = scanned(state, 0)
+    else:
+        state = materialise(state.withColumn("row", F.monotonically_increasing_id()), "decontaminate-texts")
+        texts = state.select("row", "text", "n_words", "spans", "items")
+        passes = [materialise(scanned(texts, k).filter(F.lit(k == 0) | (F.size("spans") > 0)).drop("text"), f"decontaminate-{k}") for k in range(blocks)]
+        found = reduce(DataFrame.union, passes).groupBy("row").agg(
+            F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        )
+        state = state.drop("n_words", "spans", "items").join(found.withColumn("spans", _merged_spans(F.col("spans"))), "row")
     if keep_text:
         kept = F.pandas_udf(_cut, T.StringType())("text", "spans")
         state = state.withColumn("kept_text", F.when(F.size("spans") > 0, kept).otherwise(F.col("text")))
@@ -234,6 +252,17 @@ def _hits(phrases: Phrases, split: list[list[bytes]], counts: np.ndarray):
     return np.concatenate(docs), np.concatenate(starts), np.concatenate(lengths), ids
 
 
+def _merged_spans(spans: Column) -> Column:
+    """Sorted spans with those that overlap or touch made one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (last["end"] >= s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast(_SPANS), step)
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     out: list[dict[str, int]] = []
     for start, end in sorted(spans):
