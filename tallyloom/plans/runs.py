@@ -99,9 +99,9 @@ def idle_devices(spark, sf_dir):
     return files.idle_devices(c, files.gpu_status(lines), 500, 5)
 
 
-@query("""SELECT 'rollout' AS kind, CAST(doc_id % 2 AS INTEGER) AS rank, CAST(doc_id // 2 % 5 AS INTEGER) AS scenario, CAST(doc_id // 10 AS INTEGER) AS rollout, doc_id, CAST((doc_id % 2 * 5 + doc_id // 2 % 5) * 20 + doc_id // 10 AS INTEGER) AS place, true AS back FROM documents WHERE doc_id < 200""")
+@query("""SELECT 'rollout' AS kind, CAST(doc_id % 2 AS INTEGER) AS rank, CAST(doc_id // 2 % 5 AS INTEGER) AS scenario, CAST(doc_id // 10 AS INTEGER) AS rollout, doc_id, CAST((doc_id % 2 * 5 + doc_id // 2 % 5) * (max(doc_id // 10) OVER () + 1) + doc_id // 10 AS INTEGER) AS place, true AS back FROM documents""")
 def archive_index(spark, sf_dir):
-    path, docs = scratch(spark, "archives"), table(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id")
+    path, docs = scratch(spark, "archives"), table(spark, sf_dir, "documents").select("doc_id")
     i = F.col("doc_id")
     member = F.format_string("rollout.r%d.%d.%d.yaml", i % 2, F.floor(i / 2) % 5, F.floor(i / 10))
     files.write_archives(docs.select((i % 2).cast("int").alias("rank"), member.alias("member"), i.cast("string").alias("text")), path)
