@@ -24,9 +24,19 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: Strings that may be an identifier in the right context: groups of digits, and words around an @.
 CANDIDATE = r"[0-9](?<![0-9][0-9])(?:[\x20().:-]{0,2}+[0-9])++|(?:\G|(?<![^\x00-\x20@]))[^\x00-\x20@]++@[^\x00-\x20@]++"
 
+#: A kind that only the method finds.  Its seeds are long strings that are set as a value of one of the names.
+SECRET = "secret"
+NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
+SECRET_SEED = r"(?<=[\"'=:\s])(?=[A-Za-z0-9_-]{20})[A-Za-z0-9_-](?<=(?i:" + "|".join(NAMES) + r")[\"']{0,1}\s{0,3}[:=]\s{0,3}[\"']{0,1}.)[A-Za-z0-9_-]++"
+#: What may be a secret in the right context: eight characters or more with a letter and a digit.
+OPAQUE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{8})(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]++"
+ALL_KINDS = (*KINDS, SECRET)
+
 ROUNDS = 3
-#: Different seed entities that a pattern must hold, and the confidence that it and an instance must reach.
+#: Different sure instances that a pattern must hold, and the confidence that it and an instance must reach.
 SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 5, 0.7, 0.7
+#: How much a string in a pattern counts against a kind whose loose shape it has, one of another shape counting 1.
+UNSEEN = 0.25
 LEFT, RIGHT = 48, 24
 
 _SPAN = "array<struct<start:int,end:int,text:string,left:string,right:string>>"
@@ -90,7 +100,7 @@ def _valid(kind: str) -> Callable[[Column], Column]:
 def _fits(kind: Column, text: Column) -> Column:
     """Whether a string has the loose shape of a kind."""
     n = F.length(_digits(text))
-    shapes = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "card": ~F.contains(text, F.lit("@")) & n.between(12, 19), "phone": ~F.contains(text, F.lit("@")) & n.between(7, 15)}
+    shapes = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "card": ~F.contains(text, F.lit("@")) & n.between(12, 19) & ~text.rlike("[A-Za-z]"), "phone": ~F.contains(text, F.lit("@")) & n.between(7, 15) & ~text.rlike("[A-Za-z]"), SECRET: ~F.contains(text, F.lit("@")) & text.rlike("[A-Za-z]") & (F.length(text) >= 8)}
     return reduce(lambda a, b: a | b, ((kind == k) & shape for k, shape in shapes.items()))
 
 
@@ -107,13 +117,15 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     """Spans of personal data in every whole text.
 
     Base spans come from ``PATTERNS``; matches that fail the limit on parts, the digit count or the
-    Luhn sum are dropped without another try.  They seed the method: their contexts induce patterns, a
-    pattern's score for a kind is the share of that kind among its different instances (weighed by the
-    instances' scores), an instance's score the noisy-or of its patterns' scores; after ``rounds``
-    rounds strings of the loose shape of a kind in a pattern sure of that kind are spans as well.
+    Luhn sum are dropped without another try.  They and secrets set under one of ``NAMES`` seed the method: their
+    contexts induce patterns, and a pattern is scored for a kind by the sum of its different instances' scores over
+    that sum, one, all its strings of other shapes or kinds, and a quarter of those of the kind's shape that nothing tells of
+    yet.  An instance's score is the noisy-or of its patterns' scores.  Every round instances that are sure support
+    patterns as seeds do, so that patterns are learned from what was discovered; after ``rounds`` rounds strings of
+    the loose shape of a kind in a pattern sure of that kind are spans as well.
 
     Returns id, ``carry`` columns, base and spans: arrays of (start, rank, end, kind) in code points,
-    end exclusive, sorted by start and rank, the place of the kind in ``KINDS``.  spans has all of base.
+    end exclusive, sorted by start and rank, the place of the kind in ``ALL_KINDS``.  spans has all of base.
     Null and empty texts have none; each row of a repeated id is scanned by itself; without seeds
     nothing is added.
     """
@@ -123,6 +135,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     scanned = chosen.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", *(f"_c_{c}" for c in carry),
         *(_found(F.col("text"), PATTERNS[k], guard[k]).alias(k) for k in KINDS), _found(F.col("text"), CANDIDATE, F.lit(True)).alias("other"),
+        _found(F.col("text"), SECRET_SEED, F.contains(F.col("text"), F.lit("=")) | F.contains(F.col("text"), F.lit(":"))).alias(SECRET), _found(F.col("text"), OPAQUE, F.lit(True)).alias("opaque"),
     )
     scanned = scanned.withColumns({k: F.filter(F.col(k), _valid(k)) for k in KINDS if k != "email"})
     scanned = materialise(scanned, "pii-scan")
@@ -130,16 +143,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     patterns, occurrences = _bootstrap(scanned, rounds)
     # a candidate that several sure patterns claim goes to the surest
     claims = occurrences.filter("kind IS NULL").withColumn("pattern", F.explode("patterns")).drop("kind").join(patterns, "pattern").filter(_fits(F.col("kind"), F.col("text")))
-    best = claims.groupBy("row", "start", "end").agg(F.max(F.struct(F.col("score"), -F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.col("kind"))).alias("best"))
-    rank = (F.array_position(F.array(*map(F.lit, KINDS)), F.col("best.kind")) - 1).cast("int")
+    best = claims.groupBy("row", "start", "end").agg(F.max(F.struct(F.col("score"), -F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind")), F.col("kind"))).alias("best"))
+    rank = (F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("best.kind")) - 1).cast("int")
     added = best.groupBy("row").agg(F.collect_list(F.struct("start", rank.alias("rank"), "end", F.col("best.kind").alias("kind"))).alias("added"))
-    out = scanned.select("row", "doc_id", *(f"_c_{c}" for c in carry), base.alias("base")).join(added, "row", "left")
-    spans = F.array_sort(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")))
+    out = scanned.select("row", "doc_id", *(f"_c_{c}" for c in carry), base.alias("base"), _ranked(SECRET).alias("secrets")).join(added, "row", "left")
+    spans = F.array_sort(F.array_distinct(F.concat("base", "secrets", F.coalesce("added", F.slice("base", 1, 0)))))
     return out.select(F.col("doc_id").alias(id_col), *(F.col(f"_c_{c}").alias(c) for c in carry), "base", spans.alias("spans"))
 
 
 def _ranked(kind: str) -> Column:
-    rank = F.lit(KINDS.index(kind))
+    rank = F.lit(ALL_KINDS.index(kind))
     return F.transform(F.col(kind), lambda x: F.struct(x["start"].alias("start"), rank.alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
@@ -149,24 +162,33 @@ def _tagged(spans: Column, kind: str | None) -> Column:
 
 def _bootstrap(scanned: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Sure patterns (pattern, kind, score) and all occurrences with their patterns."""
-    every = F.concat(*(F.col(k) for k in KINDS))
-    free = F.filter("other", lambda c: ~F.exists(every, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    tagged = [*(_tagged(F.col(k), k) for k in KINDS), _tagged(free, None)]
-    rows = scanned.filter(F.size(every) + F.size("other") > 0).select("row", F.explode(F.concat(*tagged)).alias("o"))
+    every = F.concat(*(F.col(k) for k in ALL_KINDS))
+    free = lambda c: F.filter(c, lambda x: ~F.exists(every, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    tagged = [*(_tagged(F.col(k), k) for k in ALL_KINDS), _tagged(F.array_distinct(F.concat(free("other"), free("opaque"))), None)]
+    rows = scanned.filter(F.size(every) + F.size("other") + F.size("opaque") > 0).select("row", F.explode(F.concat(*tagged)).alias("o"))
     occurrences = rows.select("row", "o.kind", "o.x.start", "o.x.end", "o.x.text", _patterns(F.col("o.x.left"), F.col("o.x.right")).alias("patterns"))
     occurrences = materialise(occurrences, "pii-occurrences")
-    edges = materialise(occurrences.select(F.explode("patterns").alias("pattern"), "text", "kind").distinct(), "pii-edges")
-    totals = materialise(edges.groupBy("pattern").agg(F.countDistinct("text").alias("n")).filter(F.col("n") >= SUPPORT), "pii-totals")
-    scores = seeds = edges.filter("kind IS NOT NULL").select("pattern", "text", "kind", F.lit(1.0).alias("score"))
-    patterns = None
+    edges = occurrences.select(F.explode("patterns").alias("pattern"), "text", "kind").distinct()
+    many = edges.groupBy("pattern").agg(F.countDistinct("text").alias("n")).filter(F.col("n") >= SUPPORT).select("pattern")
+    edges = materialise(edges.join(many, "pattern"), "pii-edges")
+    seeds = edges.filter("kind IS NOT NULL").select("pattern", "text", "kind", F.lit(1.0).alias("score"))
+    unseen = edges.filter("kind IS NULL").select("pattern", "text")
+    kinds = F.explode(F.array(*map(F.lit, ALL_KINDS))).alias("kind")
+    # for each pattern and kind: strings of its shape without a kind, and all others, those of another kind included
+    shaped = unseen.select("pattern", "text", kinds).withColumn("fits", _fits(F.col("kind"), F.col("text")))
+    shapes = shaped.groupBy("pattern", "kind").agg(F.count_if("fits").alias("unseen"), F.count_if(~F.col("fits")).alias("against"))
+    claimed = seeds.groupBy("pattern").agg(F.count("*").alias("all_seeds"))
+    scores, patterns = seeds, None
     for turn in range(rounds):
-        sums = scores.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count_if(F.col("score") == 1.0).alias("seeds"))
-        sure = sums.join(totals, "pattern").withColumn("score", F.col("s") / (F.col("n") + 1))
-        patterns = materialise(sure.filter((F.col("seeds") >= SUPPORT) & (F.col("score") >= PATTERN_SCORE)).select("pattern", "kind", "score"), f"pii-patterns-{turn}")
-        claimed = edges.filter("kind IS NULL").select("pattern", "text").join(patterns, "pattern").filter(_fits(F.col("kind"), F.col("text")))
-        found = claimed.groupBy("text", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("score")).filter(F.col("score") >= INSTANCE_SCORE)
-        spread = edges.filter("kind IS NULL").select("pattern", "text").join(found, "text").select("pattern", "text", "kind", "score")
-        scores = seeds.unionByName(spread)
+        sums = scores.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count_if(F.col("score") >= INSTANCE_SCORE).alias("support"), F.count_if(F.col("score") == 1.0).alias("own_seeds"))
+        known = sums.filter(F.col("support") >= SUPPORT).join(shapes, ["pattern", "kind"], "left").join(claimed, "pattern", "left").na.fill(0, ["unseen", "against", "all_seeds"])
+        left = F.greatest(F.col("unseen") - (F.col("support") - F.col("own_seeds")), F.lit(0))
+        against = F.col("against") + F.col("all_seeds") - F.col("own_seeds") + UNSEEN * left
+        sure = known.withColumn("score", F.col("s") / (F.col("s") + 1 + against)).filter(F.col("score") >= PATTERN_SCORE)
+        patterns = materialise(sure.select("pattern", "kind", "score"), f"pii-patterns-{turn}")
+        found = unseen.join(patterns, "pattern").filter(_fits(F.col("kind"), F.col("text"))).groupBy("text", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("score"))
+        found = found.filter(F.col("score") >= INSTANCE_SCORE).withColumn("score", F.least("score", F.lit(0.999)))
+        scores = seeds.unionByName(unseen.join(found, "text").select("pattern", "text", "kind", "score"))
     return patterns, occurrences
 
 

@@ -26,7 +26,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(_table(spark, sf_dir, "documents"))
     counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+    added = [pii.count(F.col("spans"), pii.SECRET).alias("n_secret"), F.size("spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"), *added)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,28 @@ def test_empty_table_and_repeated_rows(spark):
     frame = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd")], "doc_id long, text string")
     assert [len(r.spans) for r in detect(frame).collect()] == [1, 1]
     assert detect(frame.limit(0)).count() == 0
+
+
+def test_secrets_and_what_their_contexts_hold(spark):
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "7f"
+    texts = [f'words of some kind use token = "{key(40)}" here' for _ in range(20)]
+    texts += ['more words use token = "k3y-of-9" here', f"commit {key(40)} was made", "the word abcdefgh1 alone", 'password: "' + "A1_" * 10 + '"']
+    rows = {r.doc_id: r for r in detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    spans = lambda k: [(x.kind, texts[k][x.start : x.end]) for x in rows[k].spans]
+    assert all(spans(k) == [("secret", texts[k].split('"')[1])] and not rows[k].base for k in range(20))
+    assert spans(20) == [("secret", "k3y-of-9")] and spans(23) == [("secret", "A1_" * 10)]
+    assert not spans(21) and not spans(22)
+
+
+def test_patterns_are_learned_from_what_was_discovered(spark):
+    rng = random.Random(9)
+    texts = [f"Some words. please call +49 170 {rng.randint(100000, 999999)} today" for _ in range(30)]
+    found = [f"0170 {rng.randint(1000000, 9999999)}" for _ in range(8)]
+    texts += [f"Some words. please call {n} today" for n in found]
+    texts += [f"her number privately: {n} yes" for n in found]  # no seed stands in this context
+    texts += ["her number privately: 0171 1234567 yes", "a price of 0171 7654321 euros"]
+    rows = {r.doc_id: r for r in detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    spans = lambda k: [(x.kind, texts[k][x.start : x.end]) for x in rows[k].spans]
+    assert all(spans(30 + k) == spans(38 + k) == [("phone", n)] for k, n in enumerate(found))
+    assert spans(46) == [("phone", "0171 1234567")] and not spans(47)
