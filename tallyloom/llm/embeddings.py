@@ -1,9 +1,8 @@
-"""Near-duplicate vectors by an inverted multi-index: product cells, cells within the threshold's distance, verification."""
+"""Near-duplicate vectors by an inverted multi-index: product cells, multi-sequence visits to a target recall, verification."""
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,23 +17,31 @@ from tallyloom.storage import materialise
 THRESHOLD = 0.9
 #: Vectors that the codebooks are fitted on, and that the cost of their number is estimated with, about.
 TRAIN_VECTORS, PROBE_VECTORS = 20_000, 500
-#: Codewords of each half, at most, and vectors of the sample for each of them.
+#: Codewords of each half, at most (or twice the fourth root of the number of vectors, if that is more), and
+#: vectors of the sample for each of them.
 CODEWORDS, VECTORS_EACH = 48, 40
+#: Share of pairs just at the threshold whose cells must meet, and pairs that are drawn for each probe.
+RECALL, DRAWN = 0.99, 16
+#: Lengths of vectors, most frequent first, that have codebooks of their own; all vectors of another length share a cell.
+LENGTHS = 64
 #: Vectors on either side of a task's comparison, and queries that are compared at once.
 BLOCK, CHUNK = 4096, 256
 #: Comparisons that cost as much as sending a vector to a cell.
 SHIPPED = 500
 #: What rounding may add to a squared distance.
 SLACK = 1e-9
-#: Rows of a batch that goes out.
-OUT_ROWS = 4096
+#: Rows of a batch that goes out, and vectors times cells that are looked at together.
+OUT_ROWS, PLACED = 4096, 1 << 24
 
 
 class MultiIndex:
-    """Two codebooks, one for each half of a vector; a cell is a pair of codewords."""
+    """Two codebooks, one for each half of a vector; a cell is a pair of codewords.
 
-    def __init__(self, left: np.ndarray, right: np.ndarray):
-        self.left, self.right = left, right
+    A vector visits the ``cells`` nearest cells, or, if that is None, all that may hold a link.
+    """
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, cells: int | None = None):
+        self.left, self.right, self.cells = left, right, cells
 
     def distances(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.left.shape[1]
@@ -54,23 +61,27 @@ class MultiIndex:
         a, b = _apart(a, self.left), _apart(b, self.right)
         return np.less_equal((a[:, :, None] + b[:, None, :]).reshape(out.shape), limit + SLACK, out=out)
 
-    def visits(self, units: np.ndarray, cells: int) -> list[list[int]]:
-        """The ``cells`` nearest cells of each vector, nearest first."""
-        a, b = self.distances(units)
-        return [self._traverse(x, y, cells) for x, y in zip(a, b)]
-
-    def _traverse(self, a: np.ndarray, b: np.ndarray, cells: int) -> list[int]:
-        """Multi-sequence: pairs of codewords in order of the sum, each pushed once its smaller ones are out."""
-        first, second = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        heap, seen, out = [(a[first[0]] + b[second[0]], 0, 0)], {(0, 0)}, []
-        while heap and len(out) < cells:
-            _, i, j = heapq.heappop(heap)
-            out.append(int(first[i]) * len(self.right) + int(second[j]))
-            for x, y in ((i + 1, j), (i, j + 1)):
-                if x < len(a) and y < len(b) and (x, y) not in seen:
-                    seen.add((x, y))
-                    heapq.heappush(heap, (a[first[x]] + b[second[y]], x, y))
-        return out
+    def visits(self, units: np.ndarray, cells: int) -> np.ndarray:
+        """The ``cells`` nearest cells of each vector, nearest first, by multi-sequence traversal of all vectors at once.
+
+        With codewords in order of their distance, cell (i, j) has (i + 1)(j + 1) - 1 others before it that are no
+        farther, so only the stairs of pairs below ``cells`` are looked at.
+        """
+        (a, b), cells = self.distances(units), min(cells, len(self.left) * len(self.right))
+        first, second = (np.argsort(x, axis=1, kind="stable")[:, :cells] for x in (a, b))
+        i, j = np.array([(i, j) for i in range(first.shape[1]) for j in range(min(second.shape[1], cells // (i + 1)))]).T
+        sums = np.take_along_axis(a, first, axis=1)[:, i] + np.take_along_axis(b, second, axis=1)[:, j]
+        order = np.argsort(sums, axis=1, kind="stable")[:, :cells]
+        return np.take_along_axis(first[:, i] * len(self.right) + second[:, j], order, axis=1)
+
+    def met(self, units: np.ndarray, limit: float) -> np.ndarray:
+        """Whether a vector visits a cell, by vector and cell: of the nearest ``cells`` those that may hold a link."""
+        seen = self.within(units, limit)
+        if self.cells is not None and self.cells < seen.shape[1]:
+            near = np.zeros_like(seen)
+            np.put_along_axis(near, self.visits(units, self.cells), True, axis=1)
+            seen &= near
+        return seen
 
 
 def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -122,24 +133,46 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(raw, pa.binary()), pa.array(keys, pa.binary())], names=[*names, "raw", "key"])
 
 
+def _ranks(index: MultiIndex, units: np.ndarray, threshold: float) -> np.ndarray:
+    """Place in a vector's visits of the cells of partners just at the threshold.
+
+    Half of the partners lie in directions that are all alike likely, half towards other vectors of the sample.
+    """
+    rng = np.random.default_rng(3)
+    out = []
+    for x in units:
+        aside = rng.normal(size=(DRAWN, units.shape[1]))
+        aside[::2] = units[rng.integers(0, len(units), len(aside[::2]))]
+        aside -= (aside @ x)[:, None] * x
+        length = np.linalg.norm(aside, axis=1, keepdims=True)
+        partners = threshold * x + np.sqrt(1 - threshold**2) * (aside / np.maximum(length, 1e-12))[length[:, 0] > 1e-9]
+        a, b = index.distances(x[None, :])
+        sums = (a[0][:, None] + b[0][None, :]).reshape(-1)
+        if len(partners):
+            out.append(np.searchsorted(np.sort(sums), sums[index.cell(partners)], side="right"))
+    return np.concatenate([np.ones(1, dtype=np.int64), *out])
+
+
 def fit(distinct: DataFrame, n: int, threshold: float = THRESHOLD) -> MultiIndex:
-    """Codebooks fitted on about ``TRAIN_VECTORS`` vectors; their size is the one of least cost on the sample.
+    """Codebooks fitted on about ``TRAIN_VECTORS`` of ``n`` vectors of one length, and the number of cells to visit.
 
-    No size loses a link: it only decides how many cells there are to be sent to and how full they are.
+    Of each size of the codebooks the visits are as many as ``RECALL`` of pairs just at the threshold need, drawn at
+    random around a sample; links above the threshold are nearer and need fewer.  The size is the one of least cost.
     """
     u = F.pmod(F.xxhash64(F.lit("index"), "key"), F.lit(1 << 20)) / float(1 << 20)
     sample = [bytes(r.raw) for r in distinct.filter(u < min(1.0, TRAIN_VECTORS / n)).select("key", "raw").orderBy("key").collect()]
     if not sample:
         sample = [bytes(distinct.select("raw").first().raw)]
     units = _unit(sample)
-    most = max(1, min(CODEWORDS, len(units) // VECTORS_EACH))
+    most = max(1, min(max(CODEWORDS, int(np.ceil(2 * n**0.25))), len(units) // VECTORS_EACH))
     half = (units.shape[1] + 1) // 2
     queries = units[:: max(1, -(-len(units) // PROBE_VECTORS))]
     best = None
     for k in sorted({most, *(1 << x for x in range(most.bit_length()))}):
         index = MultiIndex(_codebook(units[:, :half], k, 1), _codebook(units[:, half:], k, 2))
+        index.cells = int(np.ceil(np.quantile(_ranks(index, queries, threshold), RECALL)))
         share = np.bincount(index.cell(units), minlength=k * k) / len(units)
-        seen = index.within(queries, 2 - 2 * threshold) & (np.arange(k * k) >= index.cell(queries)[:, None])
+        seen = index.met(queries, 2 - 2 * threshold) & (np.arange(k * k) >= index.cell(queries)[:, None])
         met = n * (seen @ share).mean()
         cost = seen.sum(axis=1).mean() + 2 * met / BLOCK + met / SHIPPED
         if best is None or cost < best[0]:
@@ -148,23 +181,31 @@ def fit(distinct: DataFrame, n: int, threshold: float = THRESHOLD) -> MultiIndex
 
 
 def _place(shared, threshold: float):
-    """Each vector in its cell (side 0), and in the cells from its own on that may hold a link of it (side 1)."""
+    """Each vector in its cell (side 0), and in the cells from its own on that it visits (side 1).
+
+    shared: the index and the number of the first cell of each length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column("raw").to_pylist())
-            own, seen = index.cell(x), index.within(x, 2 - 2 * threshold)
-            # a link between two cells is met by the vector of the first one
-            row, cell = np.nonzero((seen & (np.arange(seen.shape[1]) > own[:, None])) | (np.arange(seen.shape[1]) == own[:, None]))
-            rows, cells = np.concatenate([np.arange(len(x)), row]), np.concatenate([own, cell])
-            side = np.repeat(np.array([0, 1], dtype=np.int32), [len(x), len(row)])
-            for at in range(0, len(rows), OUT_ROWS):
-                part = slice(at, at + OUT_ROWS)
-                taken = batch.take(pa.array(rows[part]))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(own[rows[part]]), pa.array(cells[part]), pa.array(side[part])], names=[*taken.schema.names, "own", "cell", "side"])
+        indexes = shared.value
+        for whole in batches:
+            lengths = np.array([len(r) for r in whole.column("raw").to_pylist()], dtype=np.int64)
+            for length in np.unique(lengths):
+                mine = np.flatnonzero(lengths == length)
+                index, base = indexes[int(length)]
+                size = max(1, PLACED // (len(index.left) * len(index.right)))
+                for low in range(0, len(mine), size):
+                    batch = whole.take(pa.array(mine[low : low + size]))
+                    x = _unit(batch.column("raw").to_pylist())
+                    own, seen = index.cell(x), index.met(x, 2 - 2 * threshold)
+                    # a link between two cells is met by the vector of the first one
+                    row, cell = np.nonzero((seen & (np.arange(seen.shape[1]) > own[:, None])) | (np.arange(seen.shape[1]) == own[:, None]))
+                    rows, cells = np.concatenate([np.arange(len(x)), row]), base + np.concatenate([own, cell])
+                    side = np.repeat(np.array([0, 1], dtype=np.int32), [len(x), len(row)])
+                    for at in range(0, len(rows), OUT_ROWS):
+                        part = slice(at, at + OUT_ROWS)
+                        taken = batch.take(pa.array(rows[part]))
+                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(base + own[rows[part]]), pa.array(cells[part]), pa.array(side[part])], names=[*taken.schema.names, "own", "cell", "side"])
 
     return run
 
@@ -206,31 +247,39 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """Links of cosine ``threshold`` or more between all vectors, and their components.
 
     Equal vectors are one entry with a number of copies.  An entry stands in the cell of its nearest
-    codewords and visits all cells, from its own on, that may hold a vector within the threshold's
-    distance; it is compared with all that stand there, block against block in double precision.  All
-    pairs at the threshold link and nothing below it does, whatever the codebooks are.
+    codewords and visits cells, from its own on, nearest first: as many as ``RECALL`` of pairs just at the
+    threshold need (see ``fit``), without those that the bisectors between codewords put beyond the threshold's distance.
+    It is compared with all that stand there, block against block in double precision, so nothing below the threshold
+    links.  An ``index`` whose cells is None loses no link at all.  Vectors of different lengths do not meet; each
+    length has an index of its own.
 
     Returns id, n_links (other rows linked directly), component_id (smallest id reachable) and kept (id =
-    component_id).  Vectors that are null, empty, zero or hold null or non-finite components, and those
-    of another length than the most common one, link with nothing.  Rows that share an id are rows of
-    their own.  An empty table gives no rows.
+    component_id).  Vectors that are null, empty, zero or hold null or non-finite components link with
+    nothing.  Rows that share an id are rows of their own.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     chosen = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     kind = chosen.schema["id"].dataType.simpleString()
     packed = materialise(chosen.mapInArrow(_pack, f"id {kind}, raw binary, key binary"), "vec-packed")
-    lengths = packed.filter("raw IS NOT NULL").groupBy(F.octet_length("raw").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    if lengths is None:
+    usable = packed.filter("raw IS NOT NULL")
+    distinct = materialise(usable.groupBy("key").agg(F.first("raw").alias("raw"), F.min("id").alias("least"), F.count("*").alias("times")), "vec-distinct")
+    lengths = distinct.groupBy(F.octet_length("raw").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").collect()  # a row for each length
+    if not lengths:
         alone = F.lit(0).cast("long")
         return packed.select(F.col("id").alias(id_col), alone.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    usable = packed.filter(F.octet_length("raw") == lengths["length"])
-    distinct = materialise(usable.groupBy("key").agg(F.first("raw").alias("raw"), F.min("id").alias("least"), F.count("*").alias("times")), "vec-distinct")
-    index = index or fit(distinct, distinct.count(), threshold)
-    placed = distinct.select("key", "raw", "times").mapInArrow(_place(spark.sparkContext.broadcast(index), threshold), "key binary, raw binary, times long, own long, cell long, side int")
+    indexes, base = {}, 0
+    for k, (length, n) in enumerate(lengths):
+        own = distinct.filter(F.octet_length("raw") == length)
+        given = index if index is not None and 8 * (index.left.shape[1] + index.right.shape[1]) == length else None
+        one = MultiIndex(np.zeros((1, (length // 8 + 1) // 2)), np.zeros((1, length // 8 // 2)))
+        indexes[length] = given or (fit(own, n, threshold) if k < LENGTHS else one), base
+        base += len(indexes[length][0].left) * len(indexes[length][0].right)
+    placed = distinct.select("key", "raw", "times").mapInArrow(_place(spark.sparkContext.broadcast(indexes), threshold), "key binary, raw binary, times long, own long, cell long, side int")
     placed = materialise(placed, "vec-placed")
     many = placed.groupBy("cell").agg(*(F.ceil(F.count_if(F.col("side") == s) / BLOCK).cast("int").alias(f"blocks{s}") for s in (0, 1)))
-    tiles = placed.join(many.filter("blocks0 > 0"), "cell")
+    # a row for each cell, of which there are no more than the codebooks make: no cell's vectors meet in one task for it
+    tiles = placed.join(F.broadcast(many.filter("blocks0 > 0")), "cell")
     mine, other = (F.when(F.col("side") == s, F.col("blocks0")).otherwise(F.col("blocks1")) for s in (0, 1))
     tiles = tiles.withColumn("block", F.pmod(F.xxhash64("key"), mine).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), other - 1)))
     tiles = tiles.withColumns({"i": F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("o")), "j": F.when(F.col("side") == 0, F.col("o")).otherwise(F.col("block"))})
@@ -242,6 +291,6 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     of = of.select("key", "least", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "key").alias("component"))
     best = of.groupBy("component").agg(F.min("least").alias("best"))
     of = of.join(best, "component").select("key", "n_links", "best")
-    out = packed.select("id", F.when(F.octet_length("raw") == lengths["length"], F.col("key")).alias("key")).join(of, "key", "left")
+    out = packed.select("id", F.when(F.col("raw").isNotNull(), F.col("key")).alias("key")).join(of, "key", "left")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("best"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

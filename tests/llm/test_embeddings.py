@@ -94,3 +94,23 @@ def test_sparse_pairs_and_a_hot_group_are_all_found(spark, monkeypatch):
     want = brute(list(range(len(vectors))), vectors)
     assert sorted(tuple(r) for r in embeddings.linked(frame, index=embeddings.MultiIndex(left, right)).collect()) == want
     assert sorted(tuple(r) for r in embeddings.linked(frame).collect()) == want
+
+
+def test_each_length_links_by_itself(spark):
+    vectors = [[1.0, 0.0, 0.0, 0.1], [1.0, 0.0, 0.0, 0.2], [0.0, 1.0, 0.0, 0.0], [1.0, 2.0], [1.0, 2.0], [2.0, 4.1], [1.0], [3.0], [-1.0]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.linked(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.901, 0.97, size=(len(x), 1))
+    both = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * aside])
+    got = {r.vec_id: r.n_links for r in embeddings.linked(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "vec_id long, embedding array<double>")).collect()}
+    want = (both @ both.T >= 0.9).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.97 * want.sum() and all(got[k] <= n for k, n in enumerate(want))
