@@ -10,6 +10,7 @@ from tallyloom.operators import metrics, sampling, windows
 from tallyloom.operators.plugins import apply_summaries
 from tallyloom.plans.base import query, rounded
 from tallyloom.sources import files
+from tallyloom.sources import yaml_rollouts as yaml_files
 from tallyloom.sources.tables import CHECKPOINTS_SQL, ROLLOUTS_SQL, checkpoints, rollouts, table
 from tallyloom.storage import scratch
 from tallyloom.streaming import batches
@@ -250,3 +251,30 @@ def advantage_without_spread(spark, sf_dir):
     spread = live.groupBy("task").agg(F.stddev_pop("ret").alias("d")).filter("d > 1e-9 OR task % 5 = 0").select("task")
     found = adv.advantages(live, ["task"], normalise=True).join(spread, "task", "left_semi")
     return found.select("task", "rollout", (F.round(F.round("advantage", 9), 5) + 0.0).alias("advantage"))
+
+
+# --- YAML and streams ---------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(count(*) AS INTEGER) AS n_messages, string_agg(role || '=' || text, '|' ORDER BY turn) AS said, '2024-01-0' || (conv_id % 9 + 1) AS today, false AS cancelled, CAST(0 AS INTEGER) AS num_prompt_messages, CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id ELSE -1 END AS INTEGER) AS n_execution_failed FROM conversations GROUP BY conv_id""")
+def yaml_rollouts(spark, sf_dir):
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30)  # noqa: E731  a JSON string and a bracket
+    date = F.concat(F.lit("2024-01-0"), F.col("conv_id") % 9 + 1)
+    line = F.concat(F.lit("- !!python/object:agents.Message\n  role: "), "role", F.lit("\n  today_date: "), date, F.lit("\n  content: "), F.regexp_replace(quoted(F.col("text")), r"\]$", ""), F.lit("\n"))
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"))
+    whole = m.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "").alias("body"))
+    known = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("\n  n_execution_failed: "), F.col("conv_id").cast("string"))).otherwise("")
+    text = F.concat(F.lit("messages:\n"), "body", F.lit("ret: 0.5\nappworld_rollout_data:\n  task: !!python/object:agents.Task\n    task_id: '"), F.col("conv_id").cast("string"), F.lit("'"), known, F.lit("\n"))
+    rollouts_ = whole.select(yaml_files.parsed(text).alias("r"))
+    e = yaml_files.episodes(rollouts_, "r", "x")
+    said = F.array_join(F.transform("chat_history", lambda x: F.concat_ws("=", x["role"], x["content"])), "|")
+    return e.select("task_id", F.size("chat_history").alias("n_messages"), said.alias("said"), F.col("chat_history")[0]["today_date"].alias("today"), "cancelled", "num_prompt_messages", "n_execution_failed")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 100 >= 85 THEN 'hard_dead' WHEN value >= 65 THEN 'hard_dead' WHEN value >= 45 THEN 'soft_dead' WHEN value >= 35 THEN 'draining' WHEN value >= 25 THEN 'recycle_after_task' ELSE 'healthy' END AS state FROM events")
+def health_stream(spark, sf_dir):
+    path, schema = scratch(spark, "health"), table(spark, sf_dir, "events").schema
+    gauges = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*")
+    states = gauges.select("event_id", cp.health(F.col("value"), F.col("user_id") % 100).alias("state"))
+    batches.commit_batches(states, path, scratch(spark, "health-state")).awaitTermination()
+    return spark.read.parquet(path).select("event_id", "state")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources import paths
+
 STATES = ("pending", "committed", "aborted")
 
 
@@ -204,3 +207,27 @@ def commit_batches(stream: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def watch(found: DataFrame, seen: str, checkpoint: str, key: list[str], done: Callable[[], DataFrame], gate: Callable[[], bool], evaluate: Callable[[DataFrame], None], every: str | None = None):
+    """Evaluate what a stream finds and is not done yet, whenever the gate is open.
+
+    found: a stream of what is due, such as complete checkpoints of the right cadence.  All that was seen stays in a
+    table under ``seen``, so what came while the gate was closed is evaluated at a later poll.  With ``every`` ("1 minute")
+    the poll goes on; without, it ends when all there is has been looked at.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        if gate():
+            all_ = batch.sparkSession.read.parquet(seen).drop("batch").dropDuplicates(key)
+            evaluate(all_.join(done(), key, "left_anti"))
+
+    writer = found.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def upload(spark: SparkSession, source: str, target: str, marker: str = "done.txt") -> None:
+    """Copy a checkpoint's folder and then its mark, so that a folder with the mark is whole."""
+    paths.copy(spark, source, target)
+    paths.write_bytes(spark, f"{target}/{marker}", b"done\n")

@@ -330,3 +330,53 @@ def test_options_and_splits():
     for bad in (lambda: cp.allowed_split("test_normal"), lambda: cp.sampling_options(top_k=3)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_paths_and_uploads(spark, tmp_path):
+    from tallyloom.sources import paths
+
+    base = f"file://{tmp_path}"
+    paths.make_folder(spark, f"{base}/a/b")
+    paths.write_bytes(spark, f"{base}/a/b/x.txt", b"one")
+    paths.write_bytes(spark, f"{base}/a/b/x.txt", b"two")
+    with pytest.raises(FileExistsError):
+        paths.write_bytes(spark, f"{base}/a/b/x.txt", b"three", overwrite=False)
+    assert paths.read_bytes(spark, f"{base}/a/b/x.txt") == b"two" and paths.children(spark, f"{base}/a/b") == ["x.txt"] and paths.children(spark, f"{base}/none") == []
+    batches.upload(spark, f"{base}/a/b", f"{base}/checkpoint-7")
+    assert paths.children(spark, f"{base}/checkpoint-7") == ["done.txt", "x.txt"]
+    assert [p.rsplit("/", 1)[1] for p in paths.glob(spark, f"{base}/check*")] == ["checkpoint-7"]
+    assert files.last_checkpoint(files.complete_checkpoints(files.listing(spark, f"{base}/checkpoint-7"))).first().iteration == 7
+    assert paths.delete(spark, f"{base}/a") and not paths.exists(spark, f"{base}/a") and not paths.delete(spark, f"{base}/a")
+
+
+def test_watch_evaluates_what_waited(spark, tmp_path):
+    source, seen, results = (str(tmp_path / n) for n in ("source", "seen", "results"))
+    open_, told = [False], []
+
+    def poll():
+        stream = spark.readStream.schema("name string").json(source).filter(cp.due(F.col("name"), 10))
+        done = lambda: frame(spark, [(n,) for n in told], "name string")
+        batches.watch(stream, seen, results, ["name"], done, lambda: open_[0], lambda rows: told.extend(sorted(r.name for r in rows.collect()))).awaitTermination()
+
+    add = lambda *names: frame(spark, [(n,) for n in names], "name string").write.mode("append").json(source)
+    add("checkpoint-10", "checkpoint-15")
+    poll()
+    assert told == []
+    open_[0] = True
+    add("checkpoint-20")
+    poll()
+    assert told == ["checkpoint-10", "checkpoint-20"]
+
+
+def test_yaml_of_rollouts(spark):
+    from tallyloom.sources import yaml_rollouts
+
+    text = "cancelled: true\nelapsed: 2\nmessages:\n- !!python/object:a.b.PolicyMessage\n  role: assistant\n  content: 'x: y'\n  generated_tokens: [1, 2]\n  generated_token_logprobs: [-0.5, .nan]\npolicy_token_info: !!python/object:a.Info\n  tokens: [1]\nappworld_rollout_data:\n  task:\n    task_id: a_1\n  num_prompt_messages: 3\n"
+    df = frame(spark, [(text,), (None,)], "t string").select(yaml_rollouts.parsed(F.col("t")).alias("r"))
+    r = [x.r for x in df.collect() if x.r][0]
+    assert (r.cancelled, r.elapsed, r.messages[0].content, r.messages[0].generated_tokens, r.policy_token_info.tokens) == (True, 2.0, "x: y", [1, 2], [1])
+    assert (r.appworld_rollout_data.num_prompt_messages, r.appworld_rollout_data.n_no_code_found) == (3, -1)
+    again = df.filter("r.elapsed IS NOT NULL").select(yaml_rollouts.parsed(yaml_rollouts.written(F.col("r"))).alias("r")).first().r
+    assert again.messages[0].content == "x: y"
+    e = yaml_rollouts.episodes(df.filter("r.elapsed IS NOT NULL"), "r", "e").first()
+    assert (e.task_id, e.cancelled, e.n_execution_failed) == ("a_1", False, -1)
