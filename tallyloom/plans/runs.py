@@ -206,13 +206,13 @@ def peak_memory(spark, sf_dir):
     return found.select("k", F.round("mb_peak", 9).alias("mb_peak"), F.round("mb_per_item", 9).alias("mb_per_item"))
 
 
-@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS span, CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + l_linenumber // 2 END AS parent, l_quantity AS seconds, l_returnflag AS name, l_linenumber AS n FROM lineitem),
-x AS (SELECT s.*, s.seconds - coalesce(c.i, 0) AS ex, row_number() OVER (PARTITION BY name ORDER BY span) AS a, row_number() OVER (PARTITION BY name ORDER BY span DESC) AS b FROM s LEFT JOIN (SELECT parent AS p, sum(seconds) AS i FROM s GROUP BY parent) c ON s.span = c.p)
+@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS span, CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + l_linenumber // 2 END AS parent, l_quantity AS seconds, l_returnflag AS name, l_linenumber AS n, (l_orderkey * 10 + l_linenumber, l_quantity, l_partkey, l_extendedprice) AS at_ FROM lineitem),
+x AS (SELECT s.*, s.seconds - coalesce(c.i, 0) AS ex, row_number() OVER (PARTITION BY name ORDER BY at_) AS a, row_number() OVER (PARTITION BY name ORDER BY at_ DESC) AS b FROM s LEFT JOIN (SELECT parent AS p, sum(seconds) AS i FROM s GROUP BY parent) c ON s.span = c.p)
 SELECT name, round(avg(seconds) FILTER (WHERE a >= 3 AND b <= 100), 6) AS inclusive, round(avg(ex) FILTER (WHERE a >= 3 AND b <= 100), 6) AS exclusive, round(sum(n) FILTER (WHERE a >= 3 AND b <= 100) / sum(seconds) FILTER (WHERE a >= 3 AND b <= 100), 6) AS throughput, round(sum(seconds), 4) AS total_time FROM x GROUP BY name""")
 def span_summary(spark, sf_dir):
     n, key = F.col("l_linenumber"), F.col("l_orderkey") * 10
-    spans = table(spark, sf_dir, "lineitem").select((key + n).alias("span"), F.when(n > 1, key + F.floor(n / 2)).alias("parent"), F.col("l_quantity").alias("seconds"), F.col("l_returnflag").alias("name"), n.alias("count"))
-    return windows.span_summary(spans).select("name", *rounded("inclusive", "exclusive", "throughput"), F.round("total_time", 4).alias("total_time"))
+    spans = table(spark, sf_dir, "lineitem").select((key + n).alias("span"), F.when(n > 1, key + F.floor(n / 2)).alias("parent"), F.col("l_quantity").alias("seconds"), F.col("l_returnflag").alias("name"), n.alias("count"), F.struct(key + n, "l_quantity", "l_partkey", "l_extendedprice").alias("at"))
+    return windows.span_summary(spans, order="at").select("name", *rounded("inclusive", "exclusive", "throughput"), F.round("total_time", 4).alias("total_time"))
 
 
 # --- ranges, names, samples ---------------------------------------------------------------------
