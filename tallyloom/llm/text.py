@@ -38,9 +38,9 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
-def pieces(text: bytes | None) -> Iterator[bytes]:
-    """A text by ``WORD_BYTES``, in pieces of ``PIECE`` bytes that end at a space."""
-    low, data = 0, text.translate(WORD_BYTES) if text else b""
+def pieces(text: bytes | None, table: bytes = WORD_BYTES) -> Iterator[bytes]:
+    """A text by ``table``, in pieces of ``PIECE`` bytes that end at a space."""
+    low, data = 0, text.translate(table) if text else b""
     while low < len(data):
         high = data.find(b" ", low + PIECE)
         high = len(data) if high < 0 else high
@@ -48,9 +48,9 @@ def pieces(text: bytes | None) -> Iterator[bytes]:
         low = high
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    """64-bit hashes of a text's lower-cased words in order; numbers only, ``PIECE`` bytes at a time."""
-    found = [_hashed(np.frombuffer(piece, dtype=np.uint8)) for piece in pieces(text)]
+def word_hashes(text: bytes | None, table: bytes = WORD_BYTES) -> np.ndarray:
+    """64-bit hashes of a text's words by ``table`` in order; numbers only, ``PIECE`` bytes at a time."""
+    found = [_hashed(np.frombuffer(piece, dtype=np.uint8)) for piece in pieces(text, table)]
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
@@ -81,7 +81,7 @@ _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.Table]:
-    """Successive batches joined to tables of about ``limit`` text bytes; a longer batch is cut by rows."""
+    """Successive batches joined to tables of about ``limit`` bytes of texts or numbers; a longer batch is cut by rows."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -103,4 +103,6 @@ def grouped(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterato
 def _lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
+    if pa.types.is_list(column.type):
+        return np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64) * column.type.value_type.bit_width // 8
     return np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
