@@ -48,6 +48,8 @@ CUES = r"licen[cs]e|rights reserved|public domain|permission|redistribut|\bcc0\b
 #: Names of licence files; their whole text is looked at as well.
 FILES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 THRESHOLD = 0.7
+#: A word in more than one line of so many is common.
+COMMON = 100
 #: A text of which so large a share of words stands in matched lines is a licence file under any name.
 WHOLE = 0.8
 #: Lines of a paragraph that are joined and compared, at every quarter of that length.
@@ -108,9 +110,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", carry
     scanned = materialise(scanned, "license-scan")
     # lines and blocks go by their digest, as a block is long and has many words
     length = F.size(F.split("line", " ")).alias("length")
-    single = scanned.select("row", F.explode("lines").alias("line")).select("row", F.md5("line").alias("line"), length).groupBy("row", "line", "length").agg(F.count("*").alias("n"))
-    blocks = scanned.select("row", F.explode("blocks").alias("line")).select("row", F.md5("line").alias("line"), length).distinct()
-    texts = lambda name: scanned.select(F.explode(name).alias("text")).select(F.md5("text").alias("line"), "text")
+    single = scanned.select("row", F.explode("lines").alias("line")).select("row", F.unhex(F.md5("line")).alias("line"), length).groupBy("row", "line", "length").agg(F.count("*").alias("n"))
+    blocks = scanned.select("row", F.explode("blocks").alias("line")).select("row", F.unhex(F.md5("line")).alias("line"), length).distinct()
+    texts = lambda name: scanned.select(F.explode(name).alias("text")).select(F.unhex(F.md5("text")).alias("line"), "text")
     best = materialise(_best(spark, texts("lines"), texts("blocks"), threshold), "license-best")
     stated = scanned.select("row", F.explode("stated").alias("license"), F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("alone"), F.lit(0).alias("joined"))
     of_lines = single.join(best, "line").select("row", "license", "score", (F.col("length") * F.col("n")).alias("alone"), F.lit(0).alias("joined"))
@@ -149,24 +151,46 @@ def _rank(license_col: str) -> Column:
 
 
 def _best(spark: SparkSession, lines: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
-    """Best template of each different line or block: line, license and score, for those at the threshold."""
+    """Best template of each different line or block: line, license and score, for those at the threshold.
+
+    A text's product with a template is a sum over its words; the square of its length is at least the
+    sum of its words' squared weights, and a word that is neither in a template nor in one of ``COMMON`` lines
+    weighs as much as that.  So one pass finds all that may come to the threshold, and only those are weighed word
+    by word.  The table of templates' and common words goes to all executors: no more common words than ``COMMON``
+    times the mean number of different words of a line.
+    """
     templates = reduce(DataFrame.union, [spark.range(1).select(F.lit(k).alias("template"), F.lit(name).alias("license"), _normal(F.lit(text)).alias("line")) for k, (name, text) in enumerate(TEMPLATES)])
     templates = materialise(templates.coalesce(1), "license-templates")
     term = F.explode(F.split("line", " ")).alias("term")
-    each = lines.select("line", "text", F.lit(True).alias("counts")).union(blocks.select("line", "text", F.lit(False)))
-    all_lines = each.groupBy("line").agg(F.first("text").alias("text"), F.max("counts").alias("counts"))
-    of_lines = all_lines.filter("text <> ''").select("line", "counts", F.explode(F.split("text", " ")).alias("term")).groupBy("line", "counts", "term").agg(F.count("*").alias("tf"))
-    of_lines = materialise(of_lines, "license-terms")
     of_templates = templates.select("template", "license", term).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    frequency = of_lines.filter("counts").select("term").union(of_templates.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    different = lines.groupBy("line").agg(F.first("text").alias("text")).filter("text <> ''")
+    of_lines = different.select(F.explode(F.array_distinct(F.split("text", " "))).alias("term"))
+    frequency = of_lines.union(of_templates.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    frequency = materialise(frequency, "license-words")
     total = lines.agg(F.count_distinct("line").alias("_total")).select(F.col("_total") + len(TEMPLATES)).first()[0]
-    weight = F.col("tf") * (1 + F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))))
-    a = materialise(of_lines.join(frequency, "term", "left").select("line", "term", weight.alias("w")), "license-weights")
-    b = of_templates.join(frequency, "term").select("template", "license", "term", weight.alias("v"))
-    dots = a.join(F.broadcast(b), "term").groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    idf = 1 + F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0))))
+    b = of_templates.join(frequency, "term").select("template", "license", "term", (F.col("tf") * idf).alias("v"))
+    b = materialise(b.coalesce(1), "license-template-weights")
+    sizes = {r.template: r.size for r in b.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size")).collect()}  # a row for each template
+    of = b.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("template", "v"))).alias("_v"))
+    of = of.select("term", *(F.coalesce(F.try_element_at("_v", F.lit(k)), F.lit(0.0)).alias(f"_v{k}") for k in sizes))
+    known = frequency.filter(F.col("df") * COMMON >= total).union(frequency.join(F.broadcast(of.select("term")), "term", "left_semi")).distinct()
+    known = known.select("term", idf.alias("_idf")).join(of, "term", "left")
+    rare = 1 + F.log((1 + F.lit(total)) / (1 + F.lit(total / COMMON)))
+    texts = lines.union(blocks).groupBy("line").agg(F.first("text").alias("text")).filter("text <> ''")
+    words = texts.select("line", F.explode(F.split("text", " ")).alias("term")).join(F.broadcast(known), "term", "left")
+    weight = F.coalesce("_idf", rare)
+    dots = {k: F.sum(F.col("_idf") * F.col(f"_v{k}")) for k in sizes}
+    # words and texts come from one shuffle by line, and the sums need no further one
+    bound = words.groupBy("line").agg(F.sum(weight * weight).alias("_least"), *(d.alias(f"_d{k}") for k, d in dots.items()))
+    may = reduce(Column.__or__, (F.coalesce(F.col(f"_d{k}") >= (threshold - 1e-6) * size * F.sqrt("_least"), F.lit(False)) for k, size in sizes.items()))
+    near = materialise(texts.join(bound.filter(may).select("line").hint("merge"), "line"), "license-near")
+    each = near.select("line", F.explode(F.split("text", " ")).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
+    a = materialise(each.join(frequency, "term", "left").select("line", "term", (F.col("tf") * idf).alias("w")), "license-weights")
+    products = a.join(F.broadcast(b), "term").groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     size_a = a.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size_a"))
     size_b = b.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size_b"))
-    scored = dots.join(F.broadcast(size_b), "template").join(size_a, "line").withColumn("score", F.least(F.round(F.col("dot") / (F.col("size_a") * F.col("size_b")), 9), F.lit(1.0)))
+    scored = products.join(F.broadcast(size_b), "template").join(size_a, "line").withColumn("score", F.least(F.round(F.col("dot") / (F.col("size_a") * F.col("size_b")), 9), F.lit(1.0)))
     scored = scored.filter(F.col("score") >= threshold).withColumn("rank", _rank("license"))
     top = scored.groupBy("line").agg(F.max(F.struct("score", "rank", "license")).alias("top"))
     return top.select("line", "top.license", "top.score")
