@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import advantages as adv
@@ -256,7 +258,9 @@ def advantage_without_spread(spark, sf_dir):
 # --- YAML and streams ---------------------------------------------------------------------------
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(count(*) AS INTEGER) AS n_messages, string_agg(role || '=' || text, '|' ORDER BY turn) AS said, '2024-01-0' || (conv_id % 9 + 1) AS today, false AS cancelled, CAST(0 AS INTEGER) AS num_prompt_messages, CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id ELSE -1 END AS INTEGER) AS n_execution_failed FROM conversations GROUP BY conv_id""")
+_YAML_SQL = """SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(count(*) AS INTEGER) AS n_messages, string_agg(role || '=' || text, '|' ORDER BY turn) AS said, '2024-01-0' || (conv_id % 9 + 1) AS today, false AS cancelled, CAST(0 AS INTEGER) AS num_prompt_messages, CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id ELSE -1 END AS INTEGER) AS n_execution_failed FROM conversations GROUP BY conv_id"""
+
+
 def yaml_rollouts(spark, sf_dir):
     quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30)  # noqa: E731  a JSON string and a bracket
     date = F.concat(F.lit("2024-01-0"), F.col("conv_id") % 9 + 1)
@@ -271,6 +275,10 @@ def yaml_rollouts(spark, sf_dir):
     return e.select("task_id", F.size("chat_history").alias("n_messages"), said.alias("said"), F.col("chat_history")[0]["today_date"].alias("today"), "cancelled", "num_prompt_messages", "n_execution_failed")
 
 
+if find_spec("yaml"):  # a package that not every machine has
+    query(_YAML_SQL)(yaml_rollouts)
+
+
 @query("SELECT event_id, CASE WHEN user_id % 100 >= 85 THEN 'hard_dead' WHEN value >= 65 THEN 'hard_dead' WHEN value >= 45 THEN 'soft_dead' WHEN value >= 35 THEN 'draining' WHEN value >= 25 THEN 'recycle_after_task' ELSE 'healthy' END AS state FROM events")
 def health_stream(spark, sf_dir):
     path, schema = scratch(spark, "health"), table(spark, sf_dir, "events").schema

@@ -369,6 +369,7 @@ def test_watch_evaluates_what_waited(spark, tmp_path):
 
 
 def test_yaml_of_rollouts(spark):
+    pytest.importorskip("yaml")
     from tallyloom.sources import yaml_rollouts
 
     text = "cancelled: true\nelapsed: 2\nmessages:\n- !!python/object:a.b.PolicyMessage\n  role: assistant\n  content: 'x: y'\n  generated_tokens: [1, 2]\n  generated_token_logprobs: [-0.5, .nan]\npolicy_token_info: !!python/object:a.Info\n  tokens: [1]\nappworld_rollout_data:\n  task:\n    task_id: a_1\n  num_prompt_messages: 3\n"
