@@ -249,3 +249,8 @@ def remove(spark: SparkSession, tasks: DataFrame, target: str, key: str = "task_
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
     return sum(bool(fs.delete(path(f"{target}/{r[0]}"), True)) for r in tasks.select(key).distinct().collect())
+
+
+def latest_file(files: DataFrame, name: str) -> DataFrame:
+    """path of the file changed last of those whose name matches a pattern; null if there is none."""
+    return files.filter(F.col("name").rlike(name)).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))

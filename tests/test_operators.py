@@ -381,3 +381,14 @@ def test_yaml_of_rollouts(spark):
     assert again.messages[0].content == "x: y"
     e = yaml_rollouts.episodes(df.filter("r.elapsed IS NOT NULL"), "r", "e").first()
     assert (e.task_id, e.cancelled, e.n_execution_failed) == ("a_1", False, -1)
+
+
+def test_latest_file_and_log_tail(spark, tmp_path):
+    import os
+
+    for k, name in enumerate(("iteration-000002.json", "iteration-000001.json", "other.txt")):
+        (tmp_path / name).write_text("{}")
+        os.utime(tmp_path / name, (1_700_000_000 + k, 1_700_000_000 + k))
+    found = files.latest_file(files.listing(spark, str(tmp_path)), r"^iteration-\d+\.json$").first().path
+    assert found.endswith("iteration-000001.json")
+    assert spark.range(1).select(cp.log_tail(F.lit("abcdef"), 3)).first()[0] == "def"
