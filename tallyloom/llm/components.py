@@ -21,7 +21,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         parents = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("parent"))
-        parents = _flat(parents, f"{name}-{turn}")
+        # written, so that both sides of the joins on it come straight from a shuffle and a hot root's rows can be split
+        parents = _flat(materialise(parents, f"{name}-parents-{turn}"), f"{name}-{turn}")
         found = found.join(parents.withColumnRenamed("node", "_n"), F.col("component") == F.col("_n"), "left")
         found = materialise(found.select("node", F.coalesce("parent", "component").alias("component")), f"{name}-found-{turn}")
         for c in ("a", "b"):
