@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.text import bounded_batches, grouped, mixed, utf8
 from tallyloom.storage import materialise
 
-#: Bytes of a string whose repetition counts.
-LENGTH = 400
+#: Bytes of a string whose repetition counts, and of one that is reported only: some fifty words.
+LENGTH, SHORT = 400, 288
 #: Bytes of an anchor.
 GRAM = 64
 #: Period of the difference cover.
@@ -69,14 +69,18 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(before[:n], after[width - 1 : width - 1 + n])
 
 
-def regions(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """Piece, first and last window start, anchor, and hashes of anchor and region of every region."""
+def regions(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM, behind: int = 0):
+    """Piece, first and last window start, anchor, hashes of anchor and region, and bytes behind of every region.
+
+    A region's bytes go to the end of its last window and up to ``behind`` bytes farther, as far as its piece goes.
+    Windows start in the first ``PIECE_BYTES`` of a piece.
+    """
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none, none
     rolling = Rolling(data)
     at = np.arange(len(data) - gram + 1)
     grams = rolling.of(at, at + gram)
@@ -84,17 +88,19 @@ def regions(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM):
     anchors = (_window_minima(packed, length - gram + 1) & np.uint64(2**22 - 1)).astype(np.int64)
     starts = np.arange(len(anchors))
     piece = np.searchsorted(ends, starts, side="right")
-    inside = starts + length <= ends[piece]
+    inside = (starts + length <= ends[piece]) & (starts - (ends - sizes)[piece] < PIECE_BYTES)
     starts, anchors, piece = starts[inside], anchors[inside], piece[inside]
     if not len(starts):
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none, none
     new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (piece[1:] != piece[:-1])])
     first = starts[new]
     last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     anchor, piece = anchors[new], piece[new]
-    region = rolling.of(first, last + length) ^ mixed((anchor - first).astype(np.uint64) * np.uint64(4096) + (last - first).astype(np.uint64))
+    more = np.minimum(ends[piece] - last - length, behind)
+    shape = ((anchor - first) * 4096 + (last - first)) * 4096 + more
+    region = rolling.of(first, last + length + more) ^ mixed(shape.astype(np.uint64))
     base = (ends - sizes)[piece]
-    return piece, first - base, last - base, anchor - base, grams[anchor].view(np.int64), region.view(np.int64)
+    return piece, first - base, last - base, anchor - base, grams[anchor].view(np.int64), region.view(np.int64), more
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,17 +109,17 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, owner, offset = [], [], []
 
         def flush():
-            piece, first, last, anchor, gram, region = regions(pieces)
+            piece, first, last, anchor, gram, region, more = regions(pieces, SHORT, behind=LENGTH - SHORT)
             own, base = np.array(owner, dtype=np.int64)[piece], np.array(offset, dtype=np.int64)[piece]
             pieces.clear(), owner.clear(), offset.clear()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[k] for k in own], pa.string()), pa.array([hashes[k] for k in own], pa.int64()), *(pa.array(x) for x in (first + base, last + base, anchor + base, gram, region))],
-                names=["id", "h", "first", "last", "anchor", "gram", "region"],
+                [pa.array([ids[k] for k in own], pa.string()), pa.array([hashes[k] for k in own], pa.int64()), *(pa.array(x) for x in (first + base, last + base, anchor + base, gram, region, more))],
+                names=["id", "h", "first", "last", "anchor", "gram", "region", "more"],
             )
 
         held = 0
         for k, text in enumerate(x for c in table.column("text").chunks for x in utf8(c)):
-            for low in range(0, max(0, len(text) - LENGTH + 1), PIECE_BYTES):
+            for low in range(0, max(0, len(text) - SHORT + 1), PIECE_BYTES):
                 pieces.append(text[low : low + PIECE_BYTES + LENGTH - 1])
                 owner.append(k)
                 offset.append(low)
@@ -137,7 +143,7 @@ def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, types.get(c, pa.int64())) for c, v in out.items()], names=list(out))
 
 
-def _split(width: int):
+def _split(width: int, length: int):
     """Pieces of regions by ``width`` distances from the anchor, keyed by the bytes that all windows there hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +153,9 @@ def _split(width: int):
                 first, last, anchor = row["first"], row["last"], row["anchor"]
                 for j in range((anchor - last) // width, (anchor - first) // width + 1):
                     low, high = max(first, anchor - (j + 1) * width + 1), min(last, anchor - j * width)
-                    core = row["data"][anchor - j * width - first : anchor - (j + 1) * width + 1 + LENGTH - first]
+                    core = row["data"][anchor - j * width - first : anchor - (j + 1) * width + 1 + length - first]
                     mark = hashlib.blake2b(core, digest_size=8, key=row["key"].to_bytes(8, "little", signed=True) + bytes([j % 256, j // 256, width])).digest()
-                    new = row | {"first": low, "last": high, "key": int.from_bytes(mark, "little", signed=True), "data": row["data"][low - first : high + LENGTH - first]}
+                    new = row | {"first": low, "last": high, "key": int.from_bytes(mark, "little", signed=True), "data": row["data"][low - first : high + length - first]}
                     for c, v in new.items():
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, batch.schema.field(c).type) for c, v in out.items()], names=list(out))
@@ -236,59 +242,89 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -
         open_ = open_[side != 0]
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(length: int = LENGTH, short: int = SHORT):
     """Byte ranges covered by windows that occur more than once among the regions of a bucket."""
-    held: list[dict] = []
-    size, last = 0, None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if size >= BLOCK_BYTES and row["key"] != last:
-                yield _block(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row["data"])
-            last = row["key"]
-    if held:
-        yield _block(held)
-
-
-def _block(rows: list[dict], length: int = LENGTH) -> pa.RecordBatch:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size, last = 0, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if size >= BLOCK_BYTES and row["key"] != last:
+                    yield _block(held, length, short)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row["data"])
+                last = row["key"]
+        if held:
+            yield _block(held, length, short)
+
+    return run
+
+
+def _windows(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' bytes, where each row begins, and the starts of all windows."""
     sizes = np.array([len(r["data"]) for r in rows], dtype=np.int64)
     base = np.cumsum(sizes) - sizes
-    windows = sizes - length + 1
-    data = np.frombuffer(b"".join(r["data"] for r in rows), dtype=np.uint8)
+    windows = np.array([r["last"] - r["first"] + 1 for r in rows], dtype=np.int64)
     owner = np.repeat(np.arange(len(rows)), windows)
     starts = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    order = sorted_suffixes(data, starts, length)
-    rolling = Rolling(data)
-    hashes = rolling.of(order, order + length)
+    return np.frombuffer(b"".join(r["data"] for r in rows), dtype=np.uint8), base, starts
+
+
+def _runs(order: np.ndarray, hashes: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last start of runs of sorted windows that are equal to a neighbour."""
     equal = hashes[1:] == hashes[:-1]
     twice = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])
-    found = np.sort(order[twice])
+    found = np.sort(order[twice[: len(order)]])
     own = np.searchsorted(base, found, side="right") - 1
     new = np.concatenate([[True], (found[1:] != found[:-1] + 1) | (own[1:] != own[:-1])])[: len(found)]
     begin = found[new]
     end = found[np.append(np.flatnonzero(new)[1:] - 1, len(found) - 1)] if len(found) else begin
-    own = own[new]
-    shift = np.array([r["first"] for r in rows], dtype=np.int64)[own] - base[own]
+    return own[new], begin, end
+
+
+def _block(rows: list[dict], length: int = LENGTH, short: int = SHORT) -> pa.RecordBatch:
+    # a row none of whose windows has an equal by its hash repeats nothing and need not be sorted
+    data, base, starts = _windows(rows)
+    hashes = Rolling(data).of(starts, starts + short)
+    _, group, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    live = np.unique(np.searchsorted(base, starts[times[group] > 1], side="right") - 1)
+    rows = [rows[k] for k in live]
+    data, base, starts = _windows(rows)
+    ends = np.append(base[1:], len(data))
+    order = sorted_suffixes(data, starts, length)
+    rolling = Rolling(data)
+    owner = np.searchsorted(base, order, side="right") - 1
+    long = order[order + length <= ends[owner]] if len(order) else order
+    own, begin, end = _runs(order, rolling.of(order, order + short), base)
+    own_long, begin_long, end_long = _runs(long, rolling.of(long, long + length), base)
+    shift = np.array([r["first"] for r in rows], dtype=np.int64) - base
+    own, begin = np.concatenate([own, own_long]), np.concatenate([begin + shift[own], begin_long + shift[own_long]])
+    end = np.concatenate([end + shift[own[: len(end)]] + short, begin[len(end) :]])
+    long_end = np.concatenate([begin[: len(begin) - len(own_long)], end_long + shift[own_long] + length])
     return pa.RecordBatch.from_arrays(
-        [pa.array([rows[k]["id"] for k in own], pa.string()), pa.array([rows[k]["h"] for k in own], pa.int64()), pa.array(begin + shift), pa.array(end + shift + length)],
-        names=["id", "h", "start", "end"],
+        [pa.array([rows[k]["id"] for k in own], pa.string()), pa.array([rows[k]["h"] for k in own], pa.int64()), pa.array(begin), pa.array(end), pa.array(long_end)],
+        names=["id", "h", "start", "end", "long_end"],
     )
 
 
 def repeated(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Byte ranges (id, h, start, end) covered by strings of ``LENGTH`` bytes that start more than once.
+    """Byte ranges (id, h, start, end, long_end) covered by strings that start more than once.
 
-    docs: id (string), h (a hash of the text) and the text.
+    From start to end ``SHORT``-byte strings cover every byte, from start to long_end such of ``LENGTH``; a range may be
+    empty.  docs: id (string), h (a hash of the text) and the text.
     """
     spark = docs.sparkSession
-    anchors = docs.filter(F.octet_length(text_col) >= LENGTH).select("id", "h", F.col(text_col).alias("text"))
-    anchors = materialise(anchors.mapInArrow(_anchors, "id string, h long, first long, last long, anchor long, gram long, region long"), "suffix-anchors")
+    anchors = docs.filter(F.octet_length(text_col) >= SHORT).select("id", "h", F.col(text_col).alias("text"))
+    anchors = materialise(anchors.mapInArrow(_anchors, "id string, h long, first long, last long, anchor long, gram long, region long, more long"), "suffix-anchors")
     one = F.struct("id", "h", "first", "last", "anchor")
     groups = anchors.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(one).alias("one"))
     groups = materialise(groups, "suffix-regions")
-    whole = anchors.join(groups.filter("n > 1").select("gram", "region"), ["gram", "region"]).select("id", "h", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    stop = F.col("last") + SHORT + F.col("more")
+    whole = anchors.join(groups.filter("n > 1").select("gram", "region"), ["gram", "region"]).select(
+        "id", "h", F.col("first").alias("start"), (F.col("last") + SHORT).alias("end"), F.when(stop - F.col("first") >= LENGTH, stop).otherwise(F.col("first")).alias("long_end")
+    )
     partly = groups.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1").select("gram")
     wanted = groups.join(partly, "gram").select("one.id", "one.h", F.struct("one.first", "one.last", "one.anchor", "gram").alias("w"))
     wanted = wanted.groupBy("id", "h").agg(F.collect_list("w").alias("wanted"))
@@ -297,49 +333,83 @@ def repeated(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # rows alike in id and text give the same excerpts, which count once: a whole region that occurs twice is found above
     open_ = materialise(texts.mapInArrow(_excerpts, schema).dropDuplicates(["id", "h", "first"]), "suffix-excerpts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = [whole]
+    sizes = materialise(open_.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1"), "suffix-sizes")  # written, so that hot keys' rows can be split
+    placed = open_.join(sizes, "key").select(*open_.columns, "_n")
+    small = placed.filter(F.col("_n") <= HOT).drop("_n").repartition(parts, "key").sortWithinPartitions("key")
+    ranges = "id string, h long, start long, end long, long_end long"
+    found = [whole, materialise(small.mapInArrow(_repeats(), ranges), "suffix-found")]
+    hot = materialise(placed.filter(F.col("_n") > HOT).drop("_n"), "suffix-hot")
+    if not hot.isEmpty():
+        start, nothing = F.col("start"), F.col("start").alias
+        short = hot.withColumn("data", F.expr(f"substring(data, 1, cast(last - first + {SHORT} as int))"))
+        long = hot.withColumn("last", F.col("first") + F.octet_length("data") - LENGTH).filter("last >= first")
+        found += [f.select("id", "h", start, "end", nothing("long_end")) for f in _hot(short, SHORT, parts)]
+        found += [f.select("id", "h", start, nothing("end"), F.col("end").alias("long_end")) for f in _hot(long, LENGTH, parts)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def _hot(open_: DataFrame, length: int, parts: int) -> list[DataFrame]:
+    """Byte ranges (id, h, start, end) covered by repeated windows of one length in buckets of many regions.
+
+    Of equal regions one goes on and all are repeated; buckets are then split by where windows start.  A long
+    passage in many texts so soon is one region, and what stands around it differs and falls apart.
+    """
+    found, schema = [], "id string, h long, first long, last long, anchor long, key long, data binary"
     for width in (*WIDTHS, 0):
-        sizes = open_.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
-        placed = open_.join(sizes, "key").select(*open_.columns, "_n")
-        if not width:  # all that share a key are equal
-            found.append(placed.select("id", "h", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end")))
+        marked = materialise(open_.withColumn("_d", F.md5("data")), f"suffix-marked-{length}-{width}")
+        row = F.struct("id", "h", "first", "last", "anchor", "data")
+        equal = materialise(marked.groupBy("key", "_d").agg(F.count("*").alias("_m"), F.min(row).alias("_one")), f"suffix-equal-{length}-{width}")
+        many = marked.join(equal.filter("_m > 1").select("key", "_d"), ["key", "_d"])
+        found.append(many.select("id", "h", F.col("first").alias("start"), (F.col("last") + length).alias("end")))
+        if not width:  # windows of one key are equal
             break
-        small = placed.filter(F.col("_n") <= HOT).drop("_n").repartition(parts, "key").sortWithinPartitions("key")
-        found.append(materialise(small.mapInArrow(_repeats, "id string, h long, start long, end long"), f"suffix-found-{width}"))
-        open_ = materialise(placed.filter(F.col("_n") > HOT).drop("_n").mapInArrow(_split(width), schema), f"suffix-hot-{width}")
+        open_ = equal.select("_one.id", "_one.h", "_one.first", "_one.last", "_one.anchor", "key", "_one.data")
+        sizes = materialise(open_.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1"), f"suffix-sizes-{length}-{width}")
+        placed = open_.join(sizes, "key")
+        small = placed.filter(F.col("_n") <= HOT).select(*open_.columns).repartition(parts, "key").sortWithinPartitions("key")
+        sorted_ = materialise(small.mapInArrow(_repeats(length, length), "id string, h long, start long, end long, long_end long"), f"suffix-found-{length}-{width}")
+        found.append(sorted_.filter("end > start").select("id", "h", "start", "end"))
+        open_ = materialise(placed.filter(F.col("_n") > HOT).select(*open_.columns).mapInArrow(_split(width, length), schema), f"suffix-split-{length}-{width}")
         if open_.isEmpty():
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    return found
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    out: list[dict[str, int]] = []
+    for start, end in sorted(x for x in spans if x[0] < x[1]):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"start": start, "end": end})
     return out
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans, kept = [], []
+        spans, repeats, kept = [], [], []
         for text, own in zip(utf8(batch.column("text")), batch.column("found").to_pylist()):
-            text, out, at, rest = text or b"", [], 0, []
-            for s in sorted((x["start"], x["end"]) for x in own or []):
-                if out and s[0] <= out[-1]["end"]:
-                    out[-1]["end"] = max(out[-1]["end"], s[1])
-                else:
-                    out.append({"start": s[0], "end": s[1]})
-            for s in out:
+            text, at, rest = text or b"", 0, []
+            spans.append(_merged([(x["start"], x["long_end"]) for x in own or []]))
+            repeats.append(_merged([(x["start"], x[e]) for x in own or [] for e in ("end", "long_end")]))
+            for s in spans[-1]:
                 rest.append(text[at : s["start"]])
                 at = s["end"]
-            spans.append(out)
             kept.append(b"".join([*rest, text[at:]]))
         names = [c for c in batch.schema.names if c not in ("text", "found")]
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(spans, span), pa.array(kept, pa.binary())], names=[*names, "removed", "kept"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(spans, span), pa.array(repeats, span), pa.array(kept, pa.binary())], names=[*names, "removed", "repeated", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Every text without the bytes covered by a ``LENGTH``-byte string that also starts elsewhere.
 
     Texts are UTF-8 bytes and strings never cross texts; every copy goes, overlaps count, and strings
-    are judged on the input.  Returns id, ``carry`` columns, n_bytes, removed (the maximal byte ranges) and
+    are judged on the input.  Returns id, ``carry`` columns, n_bytes, removed (the maximal byte ranges), repeated (those
+    covered by ``SHORT``-byte strings that also start elsewhere, which stay unless they are removed) and
     kept (the bytes left, which may cut a character).  Null and empty texts have no bytes, shorter ones
     lose none; each row of a repeated id counts as a text of its own.  An empty table gives no rows.
     """
@@ -349,8 +419,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"_c_{c}") for c in carry), text.alias("text"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(text).alias("h"),
     )
-    found = repeated(keyed).distinct().groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    found = repeated(keyed).distinct().groupBy("id", "h").agg(F.collect_list(F.struct("start", "end", "long_end")).alias("found"))
     joined = keyed.join(found, ["id", "h"], "left").select("doc_id", *(f"_c_{c}" for c in carry), "text", "found", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("text", "found")]
-    out = joined.mapInArrow(_removed, ", ".join([*fields, "removed array<struct<start:bigint,end:bigint>>", "kept binary"]))
-    return out.select(F.col("doc_id").alias(id_col), *(F.col(f"_c_{c}").alias(c) for c in carry), "n_bytes", "removed", "kept")
+    out = joined.mapInArrow(_removed, ", ".join([*fields, "removed array<struct<start:bigint,end:bigint>>", "repeated array<struct<start:bigint,end:bigint>>", "kept binary"]))
+    return out.select(F.col("doc_id").alias(id_col), *(F.col(f"_c_{c}").alias(c) for c in carry), "n_bytes", "removed", "repeated", "kept")

@@ -75,3 +75,19 @@ def test_cover_takes_every_pair():
 
 def test_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [512, 3])
+def test_shorter_repeats_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "PIECE_BYTES", 1500)
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefgh éß\n") for _ in range(n))
+    passages = [prose(n) for n in (200, 250, 270, 300, 380, 420)]
+    own = texts() + [prose(rng.randint(0, 300)) + p + prose(rng.randint(0, 300)) for p in passages for _ in range(3)] + [passages[3], passages[4] + passages[4]]
+    got = suffixes.remove_repeats(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")).collect()
+    short, long = brute(own, suffixes.SHORT), brute(own)
+    assert len(got) == len(own)
+    for r in got:
+        assert [(s.start, s.end) for s in r.repeated] == short[r.doc_id][1]
+        assert [(s.start, s.end) for s in r.removed] == long[r.doc_id][1] and bytes(r.kept) == long[r.doc_id][2]
