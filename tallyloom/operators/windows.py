@@ -9,12 +9,15 @@ from tallyloom.operators.order import placed_in_groups, positioned
 
 
 def throughput(df: DataFrame, key: str, ts: str, value: str, seconds: int) -> DataFrame:
-    """Increase of a running value a second over the last ``seconds``, two samples at least; null for the first."""
-    prepared = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = Window.partitionBy(key).orderBy("_t")
-    first = F.min(F.struct("_t", value)).over(rows.rangeBetween(-seconds * 1_000_000, 0))
+    """Increase of a running value a second over the last ``seconds``, two samples at least; null for the first.
+
+    Times are seconds in double precision, and a time that is null is the last.
+    """
+    prepared = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    rows = Window.partitionBy(key).orderBy(F.col("_t").asc_nulls_last())
+    first = F.min(F.struct("_t", value)).over(rows.rangeBetween(-seconds, 0))
     start = F.when(first["_t"] < F.col("_t"), first).otherwise(F.lag(F.struct("_t", value)).over(rows))
-    rate = (F.col(value) - start[value]) / F.greatest((F.col("_t") - start["_t"]) / 1e6, F.lit(1e-8))
+    rate = (F.col(value) - start[value]) / F.greatest(F.col("_t") - start["_t"], F.lit(1e-8))
     return prepared.withColumn("per_second", rate).drop("_t")
 
 

@@ -295,9 +295,10 @@ _RUN = "SELECT event_id, event_type, ts, event_id * 1.0::DOUBLE AS v, epoch_us(t
 s AS (SELECT *, CASE WHEN a[1] < t THEN a ELSE b END AS s FROM f) SELECT event_type, round(t, 3) AS t, round((v - s[2]) / greatest(t - s[1], 1e-8), 6) AS per_second FROM s""")
 def throughput_window(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("double").alias("v"))
-    e = e.groupBy("event_type", "ts").agg(F.max("v").alias("v"))
+    e = e.groupBy("event_type", (F.unix_micros("ts") / 1e6).alias("t")).agg(F.min("ts").alias("ts"), F.max("v").alias("v"))
     out = windows.throughput(e, "event_type", "ts", "v", 3600)
-    return out.select("event_type", F.round(F.col("ts").cast("double"), 3).alias("t"), *_r("per_second"))
+    # as SQL rounds: halves of the product, not of the shortest decimals
+    return out.select("event_type", F.round("t", 3).alias("t"), (F.round(F.col("per_second") * 1e6) / 1e6 + 0.0).alias("per_second"))
 
 
 @query("SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling_mean FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n >= 3")

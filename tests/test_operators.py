@@ -392,3 +392,16 @@ def test_latest_file_and_log_tail(spark, tmp_path):
     found = files.latest_file(files.listing(spark, str(tmp_path)), r"^iteration-\d+\.json$").first().path
     assert found.endswith("iteration-000001.json")
     assert spark.range(1).select(cp.log_tail(F.lit("abcdef"), 3)).first()[0] == "def"
+
+
+def test_throughput_in_double_seconds_as_its_sql(spark, tmp_path):
+    import duckdb
+    from tallyloom.plans import registry
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT k * 100000 AS event_id, TIMESTAMP '2024-01-01 00:01:09.385530' + to_microseconds(CAST(k * 7919 AS BIGINT)) AS ts, 'click' AS event_type FROM range(20) t(k)
+      UNION ALL SELECT 7, NULL, 'click' UNION ALL SELECT 9, TIMESTAMP '2024-01-02', NULL UNION ALL SELECT NULL, TIMESTAMP '2024-01-01 00:30:00', 'click') TO '{tmp_path}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    shown = lambda rows: sorted(map(repr, rows))
+    got = registry.queries()["throughput_window"](spark, str(tmp_path)).select("event_type", "t", "per_second").collect()
+    assert shown(map(tuple, got)) == shown(con.execute(registry.oracle_sql()["throughput_window"]).fetchall())
