@@ -6,19 +6,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.order import placed_in_groups, positioned
+from tallyloom.storage import materialise
 
 
 def throughput(df: DataFrame, key: str, ts: str, value: str, seconds: int) -> DataFrame:
     """Increase of a running value a second over the last ``seconds``, two samples at least; null for the first.
 
-    Times are seconds in double precision, and a time that is null is the last.
+    Times are seconds in double precision.  Each row asks at the time where its window begins: the next sample is the
+    window's first, or else the one before is the row's predecessor (of samples at one time, the next lower value).
+    Rows and askers are dealt out by range of key and time, so a key may lie in many partitions, and rows are read as
+    often as before however many lie in a window; what a partition lacks are the last sample before it and the first
+    after it.
     """
-    prepared = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
-    rows = Window.partitionBy(key).orderBy(F.col("_t").asc_nulls_last())
-    first = F.min(F.struct("_t", value)).over(rows.rangeBetween(-seconds, 0))
-    start = F.when(first["_t"] < F.col("_t"), first).otherwise(F.lag(F.struct("_t", value)).over(rows))
+    spark = df.sparkSession
+    timed = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    asking = timed.withColumns({"_at": F.col("_t") - F.lit(float(seconds)), "_sample": F.lit(False)})
+    samples = timed.select(key, value, "_t", F.col("_t").alias("_at"), F.lit(True).alias("_sample"))
+    at = F.col("_at").asc_nulls_last()
+    # more parts than tasks, as they are dealt out once more by hash
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asking.unionByName(samples, allowMissingColumns=True).repartitionByRange(parts, F.col(key), at)
+    rows = materialise(dealt.withColumn("_part", F.spark_partition_id()), "throughput")
+
+    sample = F.struct("_t", value)
+    seen, so_far = F.when(F.col("_sample"), sample), (Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("_part", key)
+    upward = own.orderBy(at, F.col("_sample"), F.col(value))
+    downward = own.orderBy(F.col("_at").desc_nulls_first(), F.col("_sample").desc(), F.col(value).desc())
+    near = rows.withColumns({
+        "_before": F.last(seen, ignorenulls=True).over(upward.rowsBetween(*so_far)), "_after": F.last(seen, ignorenulls=True).over(downward.rowsBetween(*so_far)),
+        "_tied": F.lag(F.when(~F.col("_sample"), sample)).over(upward),
+    }).filter(~F.col("_sample"))
+
+    in_order = F.when(F.col("_sample"), F.struct(F.col("_t").isNull(), "_t", value))
+    ends = rows.groupBy("_part", key).agg(F.min(in_order).alias("_first"), F.max(in_order).alias("_last"))
+    by_part = Window.partitionBy(key).orderBy("_part")
+    around = ends.select(
+        F.col("_part").alias("_p"), F.col(key).alias("_k"), F.count("*").over(Window.partitionBy(key)).alias("_parts"),
+        F.last("_last", ignorenulls=True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.last("_first", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"),
+    ).filter("_parts > 1")
+    joined = near.join(F.broadcast(around), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+
+    either = lambda near, far: F.when(near.isNotNull(), near).otherwise(F.struct(far["_t"].alias("_t"), far[value].alias(value)))
+    first, before = either(F.col("_after"), F.col("_later")), either(F.col("_before"), F.col("_earlier"))
+    tied = F.col("_tied")
+    start = F.when(first["_t"] < F.col("_t"), first).when(tied["_t"] == F.col("_t"), tied).otherwise(before)
     rate = (F.col(value) - start[value]) / F.greatest(F.col("_t") - start["_t"], F.lit(1e-8))
-    return prepared.withColumn("per_second", rate).drop("_t")
+    return joined.select(*df.columns, rate.alias("per_second"))
 
 
 def rolling_mean(df: DataFrame, key: str, order: str, value: str, last: int, burn_in: int = 1) -> DataFrame:

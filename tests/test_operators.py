@@ -405,3 +405,24 @@ def test_throughput_in_double_seconds_as_its_sql(spark, tmp_path):
     shown = lambda rows: sorted(map(repr, rows))
     got = registry.queries()["throughput_window"](spark, str(tmp_path)).select("event_type", "t", "per_second").collect()
     assert shown(map(tuple, got)) == shown(con.execute(registry.oracle_sql()["throughput_window"]).fetchall())
+
+
+@pytest.mark.parametrize("seconds", [1, 40, 5000])
+def test_throughput_of_a_key_in_many_partitions(spark, seconds):
+    rng = random.Random(seconds)
+    rows = [(k, float(rng.randint(0, 3000)), rng.randint(0, 9)) for k in ("a", "b") for _ in range(300)] + [(None, 5.0, 1), (None, 6.0, 3), ("c", 1.0, None), ("c", 2.0, 4)]
+    frame = spark.createDataFrame(rows, "k string, s double, v int").withColumn("at", F.timestamp_seconds("s"))
+    out = windows.throughput(frame.repartition(5), "k", "at", "v", seconds)
+    # a frame of a range holds all rows of a window, and a key's window one task
+    assert "RangeFrame" not in out._jdf.queryExecution().toString()
+    assert len({r[0] for r in out.select(F.spark_partition_id()).collect()}) > 1
+
+    def wanted():
+        for key in {r[0] for r in rows}:
+            own = sorted(((s, v) for k, s, v in rows if k == key), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+            for n, (s, v) in enumerate(own):
+                first = next(x for x in own if x[0] >= s - seconds)
+                start = first if first[0] < s else own[n - 1] if n else None
+                yield key, s, v, None if start is None or None in (v, start[1]) else (v - start[1]) / max(s - start[0], 1e-8)
+
+    assert sorted(map(repr, (tuple(r) for r in out.select("k", "s", "v", "per_second").collect()))) == sorted(map(repr, wanted()))
