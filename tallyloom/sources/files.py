@@ -5,11 +5,14 @@ Every path is a Hadoop path (local, object store, ...) that Spark's own readers
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources import archives
+
 _TEST = "struct<requirement:string,trace:string,label:string>"
 #: An episode document; absent fields read as null.
 EPISODE = (
@@ -104,49 +107,70 @@ def write_once(rows: DataFrame, path: str) -> None:
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """Rank, member name and text of every member of zip archives named r<rank>.zip."""
+    """Rank, member name and text of every member of zip archives named r<rank>.zip.
+
+    A task holds the bytes of one archive, and a few members at a time.
+    """
 
-    def unpack(frames):
-        import io
-        import zipfile
+    def unpack(batches):
+        import pyarrow as pa
 
-        import pandas as pd
+        def batch(where, rows):
+            return pa.RecordBatch.from_arrays([pa.array([where] * len(rows)), *(pa.array(c, pa.string()) for c in zip(*rows))], names=["path", "member", "text"])
 
-        for pdf in frames:
-            for where, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        yield pd.DataFrame([{"path": where, "member": name, "text": z.read(name).decode()}])
+        for found in batches:
+            for where, content in zip(found.column("path").to_pylist(), found.column("content")):
+                rows, size = [], 0
+                for name, text in archives.unpacked(content.as_buffer()):
+                    rows.append((name, text))
+                    size += len(text)
+                    if len(rows) == 10_000 or size > archives.PIECE:
+                        yield batch(where, rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(where, rows)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unpack, "path string, member string, text string").select(F.regexp_extract("path", r"r(\d+)\.zip$", 1).try_cast("int").alias("rank"), "member", "text")
+    return files.mapInArrow(unpack, "path string, member string, text string").select(F.regexp_extract("path", r"r(\d+)\.zip$", 1).try_cast("int").alias("rank"), "member", "text")
 
 
 def write_archives(members: DataFrame, path: str) -> None:
-    """Zip archives r<rank>.zip of the members (rank, member, text) of each rank, put up by the task that packs it.
+    """Zip archives r<rank>.zip of the members (rank, member, text) of each rank, in the order of their names.
 
-    An archive is packed in memory, as it is one file; Parquet is the better form for what is large.
+    The task that packs an archive writes it, a piece at a time, by Spark's own writer; the driver only gives the
+    files their names.  An archive is one file and so one task's work; Parquet is the better form for what is large.
     """
     spark = members.sparkSession
 
-    def pack(pdf):
-        import io
-        import zipfile
+    def pack(batches):
+        from itertools import groupby
 
-        import pandas as pd
+        import pyarrow as pa
 
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, text in zip(pdf["member"], pdf["text"]):
-                z.writestr(name, text)
-        return pd.DataFrame({"name": [f"r{pdf['rank'].iloc[0]}.zip"], "content": [out.getvalue()]})
+        rows = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(3))))
+        for rank, own in groupby(rows, key=lambda r: r[0]):
+            for n, piece in enumerate(archives.packed((name, text) for _, name, text in own)):
+                yield pa.RecordBatch.from_arrays([pa.array([rank], pa.int32()), pa.array([n], pa.int64()), pa.array([piece], pa.binary())], names=["rank", "n", "piece"])
 
+    named = members.select(F.col("rank").cast("int"), F.col("member").cast("string"), F.col("text").cast("string"))
+    pieces = named.repartition("rank").sortWithinPartitions("rank", "member").mapInArrow(pack, "rank int, n long, piece binary")
+    # the writer wants rows by rank; sorted by place as well, it takes them as they come
+    lines = pieces.sortWithinPartitions("rank", "n").select("rank", F.col("piece").cast("string").alias("value"))
+    packing = f"{path}/_packing-{uuid.uuid4().hex}"
+    lines.write.partitionBy("rank").option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 0).text(packing)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
-    for row in members.groupBy("rank").applyInPandas(pack, "name string, content binary").toLocalIterator():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{row.name}"), True)
-        out.write(row.content)
-        out.close()
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(conf)
+    for folder in fs.listStatus(hadoop(packing)):
+        if not folder.isDirectory():
+            continue
+        rank = folder.getPath().getName().removeprefix("rank=")
+        target = hadoop(f"{path}/r{rank if rank.lstrip('-').isdigit() else None}.zip")
+        (written,) = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        fs.delete(target, False)
+        if not fs.rename(written, target):
+            raise OSError(f"cannot rename {written} to {target}")
+    fs.delete(hadoop(packing), True)
 
 
 def rollout_members(members: DataFrame) -> DataFrame:

@@ -426,3 +426,36 @@ def test_throughput_of_a_key_in_many_partitions(spark, seconds):
                 yield key, s, v, None if start is None or None in (v, start[1]) else (v - start[1]) / max(s - start[0], 1e-8)
 
     assert sorted(map(repr, (tuple(r) for r in out.select("k", "s", "v", "per_second").collect()))) == sorted(map(repr, wanted()))
+
+
+def test_archives_in_pieces_that_the_driver_does_not_see(spark, tmp_path, monkeypatch):
+    import io
+    import zipfile
+
+    rng = random.Random(5)
+    rows = [(k % 3, f"é{k:06}\n.yaml", None if k % 50 == 0 else rng.randbytes(4000 if k % 3 else 2).hex()) for k in range(1500)] + [(7, f"{k}", "") for k in range(70_000)]
+    frame = spark.createDataFrame(rows, "rank int, member string, text string").repartition(4)
+    monkeypatch.setattr(type(frame), "toLocalIterator", lambda *a, **b: pytest.fail("archives came to the driver"))
+    path = f"{tmp_path}/archives"
+    files.write_archives(frame, path)
+    assert sorted(x.name for x in tmp_path.glob("archives/r*")) == ["r0.zip", "r1.zip", "r2.zip", "r7.zip"]
+    want = sorted((r, m, t or "") for r, m, t in rows)
+    with_zipfile = []
+    for x in tmp_path.glob("archives/*.zip"):
+        with zipfile.ZipFile(x) as z:
+            with_zipfile += [(int(x.stem[1:]), n, z.read(n).decode()) for n in z.namelist()]
+    assert sorted(with_zipfile) == want
+    files.write_archives(frame.filter("rank = 1").withColumn("text", F.lit("again")), path)
+    assert sorted(map(tuple, files.archive_members(spark, path).collect())) == sorted((r, m, "again" if r == 1 else t) for r, m, t in want)
+
+    for method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            z.comment = b"a comment"
+            for _, name, text in want[:200]:
+                z.writestr(name, text)
+            with z.open("wide", "w", force_zip64=True) as f:
+                f.write(b"x" * 1000)
+        own = tmp_path / f"r{method}.zip"
+        own.write_bytes(b"before" + out.getvalue())
+        assert sorted(map(tuple, files.archive_members(spark, str(own)).collect())) == sorted([(method, n, t) for _, n, t in want[:200]] + [(method, "wide", "x" * 1000)])
